@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkkb.llm import encode, neardup, packing, splitting, truncation
+from sparkkb.llm import encode, neardup, packing, pairs, splitting, truncation
 from sparkkb.session import table
 
 
@@ -23,6 +23,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.Join(table(spark, sf_dir, "knowledge_chunk"), "kid", "chunk_text", width=3, threshold=0.6, least_words=20).pairs()
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line_no, defect): answers that are no proper reply to their question."""
+    return pairs.judged(table(spark, sf_dir, "inference_result"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids): the token ids of each document."""
     return encode.Corpus(table(spark, sf_dir, "documents")).ids()
@@ -50,7 +55,7 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p6_ids, p6_decoded, p7_containers, p8_found, p8_sources)}
+    return {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p5_found, p6_ids, p6_decoded, p7_containers, p8_found, p8_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
