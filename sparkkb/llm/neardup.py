@@ -21,7 +21,6 @@ Frequencies only steer the order of the shingles: whatever they are, the result
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -32,12 +31,18 @@ from sparkkb.llm import codepoints
 from sparkkb.session import materialize_bucketed
 
 #: Shingles in more texts than this are indexed in combinations only.
-FREQUENT_OVER = 96
+FREQUENT_OVER = 500
 #: Shingles that the extended prefixes of two similar texts share at least.
-SHARED = 4
+SHARED = 3
+#: Frequencies are counted up to here.
+MOST = 4000
 BLOCK_BYTES = 8_000_000
 SLICE_BYTES = 250_000
 TOKEN_BITS = 48
+#: Texts of a block are numbered in this many bits; a block holds fewer, as each has some bytes.
+ITEM_BITS = 20
+#: Size and position in the set of a text, and its number of hidden shingles, in one long.
+SIZE_BITS, OFTEN_BITS = 26, 11
 
 
 def shingle_keys(words: np.ndarray, width: int) -> np.ndarray:
@@ -86,7 +91,7 @@ def blocks(texts: DataFrame, id_col: str, text_col: str, least_words: int) -> Da
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             for first, last in codepoints.slices(column, BLOCK_BYTES):
-                block = (TaskContext.get().partitionId() << 24) + serial
+                block = (TaskContext.get().partitionId() << 16) + serial
                 serial += 1
                 words, counts = [], []
                 part = column.slice(first, last - first)
@@ -126,7 +131,7 @@ def _send(ranges: int, width: int):
                 "range": pa.array(used.astype(np.int32)),
                 "block": pa.array(np.full(len(used), table["block"][0].as_py())),
                 "tokens": pa.ListArray.from_arrays(pa.array(np.append(at[used], at[-1]).astype(np.int32)), pa.array((tokens >> np.uint64(TOKEN_BITS - 32)).astype(np.uint32).view(np.int32))),
-                "times": pa.ListArray.from_arrays(pa.array(np.append(at[used], at[-1]).astype(np.int32)), pa.array(np.minimum(times, 127).astype(np.int8))),
+                "times": pa.ListArray.from_arrays(pa.array(np.append(at[used], at[-1]).astype(np.int32)), pa.array(np.minimum(times, MOST).astype(np.int16))),
                 "keys": pa.ListArray.from_arrays(pa.array(np.append(key_at[used], key_at[-1]).astype(np.int32)), pa.array(keys.view(np.int64))),
             }
         )
@@ -146,12 +151,12 @@ def _count(table: pa.Table) -> pa.Table:
     times, _ = _lists(table["times"])
     keys, key_n = _lists(table["keys"])
     _, inverse = np.unique(tokens, return_inverse=True)
-    df = np.minimum(np.bincount(inverse, weights=times) if len(times) else np.empty(0), 127)[inverse].astype(np.int8) if len(tokens) else np.empty(0, np.int8)
+    df = np.minimum(np.bincount(inverse, weights=times) if len(times) else np.empty(0), MOST)[inverse].astype(np.int16) if len(tokens) else np.empty(0, np.int16)
     _, key_inverse = np.unique(keys, return_inverse=True)
     of = np.repeat(blocks, key_n)
     first = np.full(key_inverse.max() + 1 if len(keys) else 0, np.iinfo(np.int64).max)
     np.minimum.at(first, key_inverse, of)
-    return pa.table({"block": pa.array(blocks), "range": table["range"], "df": _as_lists(df, n, pa.int8()), "owned": _as_lists((first[key_inverse] == of).astype(np.int8) if len(keys) else np.empty(0, np.int8), key_n, pa.int8())})
+    return pa.table({"block": pa.array(blocks), "range": table["range"], "df": _as_lists(df, n, pa.int16()), "owned": _as_lists((first[key_inverse] == of).astype(np.int8) if len(keys) else np.empty(0, np.int8), key_n, pa.int8())})
 
 
 def _emit(width: int, threshold: float):
@@ -178,26 +183,24 @@ def _emit(width: int, threshold: float):
         alike = np.ceil(2 * threshold / (1 + threshold) * size - 1e-9).astype(np.int64)  # with one that is no smaller
         reach, lead = (size - least + SHARED)[text], (size - alike + SHARED)[text]
         used = (pos < reach) & (df > 1)
-        tokens, text, df, pos, lead = tokens[used], text[used], df[used], pos[used], lead[used] - pos[used]
+        tokens, text, df, pos, lead, reach = tokens[used], text[used], df[used], pos[used], lead[used], reach[used]
         rare = df <= FREQUENT_OVER
-        often = np.bincount(text[~rare & (lead > 0)], minlength=len(key))  # keys by combination that a shared shingle may hide in
-        item = table["item"].to_numpy()
-        first, second = _two_of_each(text[~rare])
-        common, common_text, common_pos, common_lead = tokens[~rare], text[~rare], pos[~rare], lead[~rare]
-        combined = codepoints.mix(codepoints.mix(common[first]) + common[second])
-        single = np.flatnonzero(size == 1)  # too short for two of a kind
-        lone = np.isin(text, single) & ~rare
-        of = np.concatenate([text[rare], common_text[first], text[lone]])
+        often = np.bincount(text[~rare & (pos < lead)], minlength=len(key))  # shared shingles that no single key shows
+        if len(size) and size.max() >= 1 << SIZE_BITS:
+            raise ValueError(f"a text has more than {(1 << SIZE_BITS) - 1} different shingles")
+        common = np.flatnonzero(~rare & (pos < reach - SHARED + 2))  # the prefixes extended by one share two
+        first, second = _two_of_each(text[common])
+        first, second = common[first], common[second]
+        combined = codepoints.mix(codepoints.mix(tokens[first]) + tokens[second])
+        lone = np.flatnonzero(~rare & (size == 1)[text])  # too short for two of a kind
+        single = np.concatenate([np.flatnonzero(rare), lone])
+        at = np.concatenate([single, first])
+        of = text[at]
         return pa.table(
             {
-                "key": pa.array(np.concatenate([codepoints.mix(tokens[rare] + np.uint64(1)), combined, codepoints.mix(tokens[lone] + np.uint64(1))]).view(np.int64)),
-                "block": pa.array(np.full(len(of), table["block"][0].as_py())),
-                "item": pa.array(item[of]),
-                "size": pa.array(size[of].astype(np.int32)),
-                "pos": pa.array(np.concatenate([pos[rare], common_pos[first], pos[lone]]).astype(np.int32)),
-                "lead": pa.array(np.concatenate([lead[rare], np.minimum(common_lead[first], common_lead[second]), lead[lone]]).astype(np.int32)),
-                "often": pa.array(often[of].astype(np.int32)),
-                "need": pa.array(np.minimum(SHARED, least)[of].astype(np.int32)),
+                "key": pa.array(np.concatenate([codepoints.mix(tokens[single] + np.uint64(1)), combined]).view(np.int64)),
+                "text": pa.array((table["block"][0].as_py() << ITEM_BITS) + table["item"].to_numpy()[of].astype(np.int64)),
+                "info": pa.array((((size[of] << SIZE_BITS) + pos[at]) << OFTEN_BITS) + np.minimum(often[of], (1 << OFTEN_BITS) - 1)),
             }
         )
 
@@ -222,12 +225,23 @@ def _ask(width: int):
         out = {c: asked[c] for c in ("b_block", "b_item")}
         keys = dict(zip(table["item"].to_pylist(), table["text_key"].to_pylist(), strict=True)) if len(asked) else {}
         out["a_key"] = pa.array([keys[i] for i in asked["a_item"].to_pylist()], pa.int64())
-        out["a_set"] = pa.array([sets[i].tobytes() for i in asked["a_item"].to_pylist()], pa.binary())
+        out["a_set"] = pa.array([_packed(sets[i]) for i in asked["a_item"].to_pylist()], pa.binary())
         return pa.table(out)
 
     return run
 
 
+def _packed(tokens: np.ndarray) -> bytes:
+    """Six bytes a shingle."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : TOKEN_BITS // 8].tobytes()
+
+
+def _unpacked(raw) -> np.ndarray:
+    out = np.zeros((len(raw) * 8 // TOKEN_BITS, 8), np.uint8)
+    out[:, : TOKEN_BITS // 8] = np.frombuffer(raw, np.uint8).reshape(-1, TOKEN_BITS // 8)
+    return out.reshape(-1).view("<u8")
+
+
 def _sets_of(table: pa.Table, items: np.ndarray, width: int) -> dict[int, np.ndarray]:
     table = table.filter(pc.is_in(table["item"], pa.array(np.unique(items), pa.int32())))
     words, counts = _lists(table["words"])
@@ -243,7 +257,7 @@ def _verify(width: int, threshold: float):
         keys = dict(zip(table["item"].to_pylist(), table["text_key"].to_pylist(), strict=True)) if len(offered) else {}
         a_keys, b_keys, both, either = [], [], [], []
         for a_key, item, raw in zip(offered["a_key"].to_pylist(), items.tolist(), offered["a_set"], strict=True):
-            a, b = np.frombuffer(raw.as_buffer(), np.uint64), sets[item]
+            a, b = _unpacked(raw.as_buffer()), sets[item]
             shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
             union = len(a) + len(b) - shared
             if shared >= threshold * union - 1e-9:
@@ -272,27 +286,31 @@ class Join:
     def keys(self) -> DataFrame:
         ranges = max(1, self.stored.agg(F.approx_count_distinct("block", 0.02)).first()[0])
         held = self.held.select("block", "item", "text_key", "words")
-        sent = held.groupBy("block").applyInArrow(_send(ranges, self.width), "range int, block long, tokens array<int>, times array<tinyint>, keys array<long>")
-        reply = sent.groupBy("range").applyInArrow(_count, "block long, range int, df array<tinyint>, owned array<tinyint>")
-        return held.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(_emit(self.width, self.threshold), "key long, block long, item int, size int, pos int, lead int, often int, need int")
+        sent = held.groupBy("block").applyInArrow(_send(ranges, self.width), "range int, block long, tokens array<int>, times array<smallint>, keys array<long>")
+        reply = sent.groupBy("range").applyInArrow(_count, "block long, range int, df array<smallint>, owned array<tinyint>")
+        return held.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(_emit(self.width, self.threshold), "key long, text long, info long")
 
     def candidates(self) -> DataFrame:
         """Pairs that share enough keys; a is the smaller text."""
-        keys = self.keys()
+        keys = self.keys().where("key is not null and text is not null and info is not null")  # all are; said here, it's the same filter for both sides
         a, b = keys.alias("a"), keys.alias("b")
         ratio = self.threshold / (1 + self.threshold)
-        left = F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
-        # Each condition and result names the same columns of both sides, so that both read the same shuffled keys.
+        size, other = (F.shiftright(f"{s}.info", SIZE_BITS + OFTEN_BITS) for s in "ab")
+        pos, other_pos = (F.shiftright(f"{s}.info", OFTEN_BITS).bitwiseAND((1 << SIZE_BITS) - 1) for s in "ab")
+        lead = size - F.ceil(2 * ratio * size - 1e-9) + SHARED
+        # Conditions and results name the same columns of both sides, so that both read the same shuffled keys.
         join = (
             (F.col("a.key") == F.col("b.key"))
-            & (F.least(F.col("a.lead"), F.col("b.size"), F.col("b.lead") + F.col("b.size")) > 0)
-            & (F.struct("a.size", "a.block", "a.item") < F.struct("b.size", "b.block", "b.item"))
-            & (F.col("a.size") >= self.threshold * F.col("b.size") - 1e-9)
-            & (left + (SHARED - 1) >= ratio * (F.col("a.size") + F.col("b.size")) - 1e-9)
+            & (F.struct(size, F.col("a.text")) < F.struct(other, F.col("b.text")))
+            & (F.least(lead - pos, other) > 0)
+            & (size >= self.threshold * other - 1e-9)
+            & (F.least(size - pos, other - other_pos) + (SHARED - 1) >= ratio * (size + other) - 1e-9)
         )
-        found = a.join(b, join).groupBy(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("block", "item")]).agg(
-            F.count(F.lit(1)).alias("n"), F.max(F.least("a.often", F.col("b.often") + F.col("a.often"))).alias("often"), F.min(F.least("a.need", "b.need")).alias("need"))
-        return found.where("n + often >= need").select("a_block", "a_item", "b_block", "b_item")
+        found = a.join(b, join).select(F.col("a.text").alias("a"), F.col("b.text").alias("b"), size.alias("size"), F.col("a.info").bitwiseAND((1 << OFTEN_BITS) - 1).alias("often"))
+        found = found.groupBy("a", "b", "size", "often").agg(F.count(F.lit(1)).alias("n"))
+        need = F.least(F.lit(SHARED), F.ceil(self.threshold * F.col("size") - 1e-9))
+        parts = [x for s in "ab" for x in (F.shiftright(s, ITEM_BITS).alias(f"{s}_block"), F.col(s).bitwiseAND((1 << ITEM_BITS) - 1).cast("int").alias(f"{s}_item"))]
+        return found.where(F.col("n") + F.coalesce("often", F.lit(0)) >= need).select(parts)
 
     def text_pairs(self) -> DataFrame:
         """(a_key, b_key, shared, total): each pair of different texts at or above the threshold, once."""
