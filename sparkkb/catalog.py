@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkkb.operators import problems
+from sparkkb.operators import problems, retrieval, search
 
-MODULES = [problems]
+MODULES = [problems, search, retrieval]
 
 
 def queries() -> dict:
