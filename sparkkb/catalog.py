@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkkb.operators import problems, retrieval, search
+from sparkkb.operators import build, context, links, problems, retrieval, search, tree
 
-MODULES = [problems, search, retrieval]
+MODULES = [problems, search, retrieval, tree, links, build, context]
 
 
 def queries() -> dict:

@@ -35,7 +35,7 @@ def references(chunks: DataFrame, values: DataFrame, links: DataFrame, entries:
             F.lit(name).alias("table_name"), F.lit(field).alias("field_name"), F.lit(parent).alias("parent"), "kid", F.col(field).alias("key"), "created_at")
 
     active = values.where("is_deleted = false")
-    by_path = _path_keys(links.where("target_fs_entry_id is null and original_target is not null"), entries)
+    by_path = path_keys(links.where("target_fs_entry_id is null and original_target is not null"), entries)
     return (
         plain(chunks, "knowledge_chunk", "fs_entry_id", "entry")
         .unionAll(plain(active, "knowledge_file_metadata_value", "fs_entry_id", "entry"))
@@ -45,14 +45,14 @@ def references(chunks: DataFrame, values: DataFrame, links: DataFrame, entries:
     )
 
 
-def _path_keys(links: DataFrame, entries: DataFrame) -> DataFrame:
-    """Paths encoded by the dictionary of existing file paths, in which a live entry comes before deleted ones."""
+def path_keys(links: DataFrame, entries: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Paths encoded by the dictionary of the file paths of targets (or entries), in which a live entry comes before deleted ones; entries tell where relative paths begin."""
     sources = entries.select(F.col("kid").alias("source_fs_entry_id"), F.col("virtual_path").alias("source_path"))
     target = decode_percent(F.regexp_extract("original_target", r"^[^#?]*", 0))
     absolute = F.when(target.startswith("/"), target).otherwise(F.concat(parent_path("source_path"), F.lit("/"), target))
     referred = links.join(sources, "source_fs_entry_id", "left").select("kid", "created_at", "knowledge_base_id", normalize_path(absolute).alias("path"))
     dictionary = (
-        entries.where("entry_type = 'FILE' and virtual_path is not null")
+        (entries if targets is None else targets).where("entry_type = 'FILE' and virtual_path is not null")
         .groupBy("knowledge_base_id", F.col("virtual_path").alias("path"))
         .agg(F.min(F.struct(F.coalesce("is_deleted", F.lit(False)).alias("gone"), F.col("kid"))).alias("best"))
         .select("knowledge_base_id", "path", F.col("best.kid").alias("key"))
