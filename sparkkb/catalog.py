@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkkb.operators import build, context, links, problems, retrieval, search, tree
+from sparkkb.operators import build, chunking, context, links, problems, retrieval, search, tree
 
-MODULES = [problems, search, retrieval, tree, links, build, context]
+MODULES = [problems, search, retrieval, tree, links, build, context, chunking]
 
 
 def queries() -> dict:
