@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparkkb.operators.orphans import path_keys
 from sparkkb.session import table
 
-SPAN = r"!?\[[^\]\n]*\]\(\s*<?([^()\s<>]+)>?(?:\s+[^()\n]*)?\)"
+SPAN = r"!?\[[^\]\n]*\]\(\s*(?:<(?=[^<>\s]+>))?([^()\s<>]+)>?(?:\s+[^()\n]*)?\)"
 TOKEN = r"(?<![\w/])kbref://(\d+)(?!\w)"
 
 
