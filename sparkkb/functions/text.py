@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A Han character, or a run of other letters and numbers. Written for Java and RE2 alike.
-TOKEN = r"[\x{4e00}-\x{9fff}]|(?:[^\P{L}\x{4e00}-\x{9fff}]|\p{N})+"
+#: A Han character, or a run of other letters and numbers. One character class, as a repeated group would recurse in very long words.
+TOKEN = r"[\x{4e00}-\x{9fff}]|[\p{L}\p{N}&&[^\x{4e00}-\x{9fff}]]+"
+#: The same without intersection of classes, for SQL engines that lack it.
+TOKEN_SQL = r"[\x{4e00}-\x{9fff}]|(?:[^\P{L}\x{4e00}-\x{9fff}]|\p{N})+"
 
 
 def tokens(c: Column | str) -> Column:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkkb.functions.text import TOKEN, tokens
+from sparkkb.functions.text import TOKEN_SQL, tokens
 from sparkkb.plans import filters
 from sparkkb.session import table
 
@@ -222,7 +222,7 @@ def federated_merge_hits(spark, sf_dir):
 
 
 _LIVE = f"""live AS (SELECT c.kid AS chunk_id, c.knowledge_base_id::varchar AS kb_code, ltrim(f.virtual_path, '/') AS full_path, c.fs_entry_id, c.chunk_no, f.name,
-  regexp_extract_all(lower(c.chunk_text), '{TOKEN}') AS tokens
+  regexp_extract_all(lower(c.chunk_text), '{TOKEN_SQL}') AS tokens
   FROM knowledge_chunk c JOIN knowledge_fs_entry f ON f.kid = c.fs_entry_id AND f.entry_type = 'FILE' AND NOT f.is_deleted JOIN knowledge_base b ON b.kid = f.knowledge_base_id AND NOT b.is_deleted)"""
 _TEXT = "SELECT chunk_id, len(list_filter(tokens, lambda x: x = '{0}')) * 0.1::double AS text_score FROM {1} WHERE list_contains(tokens, '{0}')"
 _VECTOR = """SELECT l.chunk_id, list_cosine_similarity(e.embedding::double[], (SELECT embedding::double[] FROM embeddings WHERE vec_id = 0)) AS vector_score

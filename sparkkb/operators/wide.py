@@ -22,9 +22,6 @@ MOST_ATTRIBUTES = 10_000
 BLANKS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 NUMBER = r"^[+-]?(?:(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$"
 DATETIME = r"^(\d{4})[-/](\d{2})[-/](\d{2})(?:[T ](\d{2}:\d{2})(:\d{2})?(?:(Z)|([+-]\d{2}):?(\d{2})?)?)?$"
-_STRING = r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"'
-_GAP = r"[ \t\n\r]*+"
-STRING_LIST = rf"^\[{_GAP}(?:{_STRING}{_GAP}(?:,{_GAP}{_STRING}{_GAP})*+)?\]$"
 TYPES = {"string": "string", "number": "decimal(38,6)", "boolean": "boolean", "datetime": "timestamp", "stringList": "array<string>"}
 
 
@@ -47,7 +44,13 @@ def _datetime(text: Column) -> Column:
 
 
 def _string_list(text: Column) -> Column:
-    return F.when(text.rlike(STRING_LIST), F.from_json(text, "array<string>"))
+    json = F.try_parse_json(F.when(text.startswith("["), text))  # a pattern would recurse in long lists
+    of_strings = F.schema_of_variant(json).isin("ARRAY<STRING>", "ARRAY<VOID>")
+    return F.when(of_strings, json.cast("array<string>"))
+
+
+def _no_nulls(items: Column) -> Column:
+    return F.when(F.forall(items, lambda x: x.isNotNull()), items)
 
 
 def cells(values: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -67,7 +70,7 @@ def cells(values: DataFrame, definitions: DataFrame) -> DataFrame:
         "number": F.coalesce(F.col("value_number").cast(TYPES["number"]), _number(text)),
         "boolean": F.coalesce("value_boolean", _boolean(text)),
         "datetime": F.coalesce("value_datetime", _datetime(text)),
-        "stringList": F.coalesce("value_string_list", _string_list(text)),
+        "stringList": F.coalesce("value_string_list", _no_nulls(_string_list(text))),
     }
     value = F.struct(*[F.when(of == t, c).cast(TYPES[t]).alias(f"as_{t}") for t, c in typed.items()])
     usable = F.coalesce(*[F.when(F.col(f"value.as_{t}").isNotNull(), True) for t in typed], F.lit(False))

@@ -61,7 +61,7 @@ def test_glob_and_moves(spark):
 
 
 def test_cover_density(spark):
-    rows = [(1, "red fox"), (2, "red big fox"), (3, "fox only"), (4, None), (5, ""), (6, "red fox red")]
+    rows = [(1, "red fox"), (2, "red big fox"), (3, "fox only"), (4, None), (5, ""), (6, "red fox red"), (7, "é" * 200_000 + " red")]
     chunks = spark.createDataFrame(rows, "chunk_id long, chunk_text string")
     got = {r["chunk_id"]: round(r["text_score"], 4) for r in retrieval.text_recall(chunks, "Red fox!").collect()}
     assert got == {1: 0.1, 2: 0.05, 6: 0.2}
