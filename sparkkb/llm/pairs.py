@@ -158,7 +158,8 @@ class Pair:
                      f"n{min(len(words), 12)}", f"p{i == 0}{i == n - 1}", f"q{text[-1:] in '?？'}", f"L{said != bare.lower()}"]
             names += [f"w{w}" for w in words] + [f"2{a}_{b}" for a, b in zip(words, words[1:], strict=False)]
             if i == n - 1:
-                names += ["T" + f for f in truncation.features(answer, "off")]
+                size = len(_TOKENS.findall(answer))
+                names += [f"S{min(size, 8)}{n == 1}{text[-1:].isalnum()}", f"s{size <= 5 and n == 1}"] + ["T" + f for f in truncation.features(answer, "off")]
             self.features.append([zlib.crc32(x.encode("utf-8", "surrogatepass")) % WIDTH for x in names])
 
     def seeds(self) -> list[int]:
@@ -281,15 +282,22 @@ def fit(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     if not total:
         return None
     picked = usable.where(F.pmod(F.xxhash64("line_no", F.lit(13)), F.lit(1_000_000)) < int(min(1.0, TRAIN_ROWS / total) * 1_000_000))
-    rows = [(r["line_no"], r["question"], r["answer"]) for r in picked.select("line_no", "question", "answer").collect()]
-    rows = sorted((r for r in rows if not is_empty(r[2])), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
-    by = {k: [(q, a) for _, q, a in rows if language(q)[0] == k] for k in [*FUNCTION_WORDS, "zh"]}
-    out = []
-    for line, q, a in rows:
-        rng = random.Random(zlib.crc32(str(line).encode()))
-        others = by[rng.choice([k for k in by if k != language(q)[0]])]
-        out += [(p.features, t) for p, t in _training(q, a, others, rng)]
-    return train(out)
+
+    def run(frames):
+        for f in frames:
+            rows = [r for r in zip(f["line_no"], f["question"], f["answer"], strict=True) if not is_empty(r[2])]
+            by: dict[str, list[tuple[str, str]]] = {k: [] for k in [*FUNCTION_WORDS, "zh"]}
+            for _, q, a in rows:
+                by.setdefault(language(q)[0] or "en", []).append((q, a))
+            out = []
+            for line, q, a in rows:
+                rng = random.Random(zlib.crc32(str(line).encode()))
+                others = by[rng.choice([k for k in by if k != language(q)[0]])]
+                out += [(line, k, p.features, t) for k, (p, t) in enumerate(_training(q, a, others, rng))]
+            yield pd.DataFrame(out, columns=["line_no", "k", "slots", "tags"])
+
+    sample = picked.select("line_no", "question", "answer").mapInPandas(run, "line_no long, k int, slots array<array<int>>, tags array<int>").toPandas().sort_values(["line_no", "k"], kind="stable")
+    return train([([list(x) for x in slots], list(tags)) for slots, tags in zip(sample["slots"], sample["tags"], strict=True)])
 
 
 def judged(pairs: DataFrame) -> DataFrame:
