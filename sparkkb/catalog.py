@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkkb.operators import build, chunking, context, links, platform, problems, retrieval, search, tree
+from sparkkb.operators import answers, build, chunking, context, links, platform, problems, retrieval, search, tree
 
-MODULES = [problems, search, retrieval, tree, links, build, context, chunking, platform]
+MODULES = [problems, search, retrieval, tree, links, build, context, chunking, platform, answers]
 
 
 def queries() -> dict:

@@ -53,6 +53,9 @@ def text_recall(chunks: DataFrame, query: str) -> DataFrame:
     terms = list(dict.fromkeys(chunks.sparkSession.range(1).select(tokens(F.lit(query))).first()[0]))
     if not terms:
         return chunks.where(F.lit(False)).withColumn("text_score", F.lit(0.0))
+    low = F.lower("chunk_text")
+    for term in terms:  # cheap, and leaves few texts to cut into tokens
+        chunks = chunks.where(low.contains(term))
     found = chunks.withColumn("__tokens", tokens("chunk_text")).where(F.size(F.array_except(F.array(*map(F.lit, terms)), "__tokens")) == 0)
     if len(terms) == 1:
         return found.withColumn("text_score", F.size(F.filter("__tokens", lambda x: x == terms[0])) * TERM_WEIGHT).drop("__tokens")
