@@ -26,7 +26,7 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fs_entry_id, property_def_id, kid): the row that fills each cell of the wide table."""
-    return wide.filled_by(*wide.wide(table(spark, sf_dir, "knowledge_file_metadata_value"), table(spark, sf_dir, "knowledge_metadata_property_def")))
+    return wide.filled_by(*wide.wide(table(spark, sf_dir, "knowledge_file_metadata_value"), table(spark, sf_dir, "knowledge_metadata_property_def"), with_values=False))
 
 
 def p2_wide(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@
 2. The cells are stored partitioned by attribute: one typed narrow table per attribute, so that
    each is later read alone.
 3. ``wide``    narrow tables are joined by entity in a balanced tree: FAN_IN of them at a time
-   are outer-joined onto the entities that any of them has, then the results likewise. Each level
-   shuffles each cell once, and a stage sorts FAN_IN + 1 inputs at most.
+   are outer-joined onto the entities that any of them has and stored, then the results likewise.
+   Each level shuffles each cell once, and a stage sorts FAN_IN + 1 inputs at most.
 """
 
 from __future__ import annotations
@@ -89,8 +89,8 @@ def attributes(definitions: DataFrame) -> list[tuple[int, str, str]]:
     return sorted((r["kid"], r["property_name"] if r["property_name"] and names.count(r["property_name"]) == 1 else f"{r['property_name'] or 'property'}_{r['kid']}", r["value_type"]) for r in rows)
 
 
-def wide(values: DataFrame, definitions: DataFrame) -> tuple[DataFrame, list[tuple[int, str, str]]]:
-    """One row per fs_entry_id that has a cell: a typed column per live definition, and ``<name>__kid``, the row that fills it. Empty tables give an empty result."""
+def wide(values: DataFrame, definitions: DataFrame, with_values: bool = True) -> tuple[DataFrame, list[tuple[int, str, str]]]:
+    """One row per fs_entry_id that has a cell: a typed column per live definition, and ``<name>__kid``, the row that fills it; these alone without with_values. Empty tables give an empty result."""
     columns = attributes(definitions)
     narrow = cells(values, definitions).hint("rebalance", F.col("property_def_id"))
     narrow = materialize(narrow, "narrow", "property_def_id")
@@ -99,7 +99,7 @@ def wide(values: DataFrame, definitions: DataFrame) -> tuple[DataFrame, list[tup
         return narrow.where(F.col("property_def_id").isin(ids)).select("fs_entry_id").distinct()
 
     level = [
-        ([k], narrow.where(F.col("property_def_id") == k).select("fs_entry_id", F.col(f"as_{t}").alias(name), F.col("kid").alias(f"{name}__kid")))
+        ([k], narrow.where(F.col("property_def_id") == k).select("fs_entry_id", *[F.col(f"as_{t}").alias(name)] * with_values, F.col("kid").alias(f"{name}__kid")))
         for k, name, t in columns
     ]
     while len(level) > 1:
@@ -110,7 +110,8 @@ def wide(values: DataFrame, definitions: DataFrame) -> tuple[DataFrame, list[tup
             whole = entities(ids)
             for _, part in some:
                 whole = whole.join(part, "fs_entry_id", "left")
-            joined.append((ids, whole if len(level) <= FAN_IN else whole.repartition("fs_entry_id")))
+            # Each level is stored: a plan of all joins at once would grow with the square of the attributes.
+            joined.append((ids, whole if len(level) <= FAN_IN else materialize(whole, "joined")))
         level = joined
     return (level[0][1] if level else narrow.select("fs_entry_id").distinct()), columns
 
