@@ -12,11 +12,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkkb.functions.paths import decode_percent, normalize_path, parent_path
 
+#: Keys of a range, as Spark's bitmap functions number them.
+RANGE = 32_768
+
 
 def period_of(ts: Column | str) -> Column:
     """Months since year 0, the period of a timestamp; null timestamps count as the first period."""
@@ -70,15 +73,19 @@ def parents(entries: DataFrame, definitions: DataFrame) -> DataFrame:
 
 
 def bitmaps(rows: DataFrame, *by: str) -> DataFrame:
-    """One bitmap of keys by range of 32,768 keys, period and the given columns. Zero pages are left to the compression of shuffle and storage."""
+    """One compressed bitmap of keys by range of 32,768 keys, period and the given columns: the positions of its bits, two bytes each.
+
+    Ranges are sparse once split by period, so this takes less than a page of bits; it is opened to one only where it is compared.
+    Sets are merged before the shuffle, so a hot key is sent once by each task.
+    """
     return rows.groupBy(*by, period_of("created_at").alias("period"), F.bitmap_bucket_number("key").alias("range")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("key")).alias("bits"))
+        F.collect_set(F.bitmap_bit_position("key").cast("smallint")).alias("bits"))
 
 
 def _and_not(table: pa.Table, live: pa.Table) -> pa.Table:
     """Keys of references that no parent of an earlier period has, of one range of keys."""
     born = np.argsort(live["period"].to_numpy(), kind="stable")
-    seen, at, covered = live["bits"], 0, np.zeros(4096, np.uint8)
+    seen, at, covered = live["bits"], 0, np.zeros(RANGE, bool)
     periods = live["period"].to_numpy()
     out = {"table_name": [], "field_name": [], "period": [], "key": []}
     for i in np.argsort(table["period"].to_numpy(), kind="stable").tolist():
@@ -86,17 +93,18 @@ def _and_not(table: pa.Table, live: pa.Table) -> pa.Table:
         while at < len(born) and periods[born[at]] < period:
             covered |= _page(seen[int(born[at])])
             at += 1
-        left = np.flatnonzero(np.unpackbits(_page(table["bits"][i]) & ~covered, bitorder="little"))
-        out["key"].append(left + (table["range"][i].as_py() - 1) * 32768 + 1)
+        left = np.flatnonzero(_page(table["bits"][i]) & ~covered)
+        out["key"].append(left + (table["range"][i].as_py() - 1) * RANGE + 1)
         for c in ("table_name", "field_name", "period"):
             out[c] += [table[c][i].as_py()] * len(left)
     keys = np.concatenate(out["key"]) if out["key"] else np.empty(0, np.int64)
     return pa.table({"parent": pa.array(table["parent"].to_pylist()[:1] * len(keys), pa.string()), "table_name": pa.array(out["table_name"], pa.string()), "field_name": pa.array(out["field_name"], pa.string()), "period": pa.array(out["period"], pa.int32()), "key": pa.array(keys, pa.int64())})
 
 
-def _page(bits: pa.BinaryScalar) -> np.ndarray:
-    raw = np.frombuffer(bits.as_buffer(), np.uint8)
-    return np.pad(raw, (0, 4096 - len(raw)))
+def _page(bits: pa.ListScalar) -> np.ndarray:
+    page = np.zeros(RANGE, bool)
+    page[bits.values.to_numpy(zero_copy_only=False)] = True
+    return page
 
 
 def suspects(refs: DataFrame, parent: DataFrame) -> DataFrame:
