@@ -53,7 +53,7 @@ def path_keys(links: DataFrame, entries: DataFrame, targets: DataFrame | None =
     sources = entries.select(F.col("kid").alias("source_fs_entry_id"), F.col("virtual_path").alias("source_path"))
     target = decode_percent(F.regexp_extract("original_target", r"^[^#?]*", 0))
     absolute = F.when(target.startswith("/"), target).otherwise(F.concat(parent_path("source_path"), F.lit("/"), target))
-    referred = links.join(sources, "source_fs_entry_id", "left").select("kid", "created_at", "knowledge_base_id", normalize_path(absolute).alias("path"))
+    referred = links.select("kid", "created_at", "knowledge_base_id", "source_fs_entry_id", "original_target").join(sources, "source_fs_entry_id", "left").select("kid", "created_at", "knowledge_base_id", normalize_path(absolute).alias("path"))
     dictionary = (
         (entries if targets is None else targets).where("entry_type = 'FILE' and virtual_path is not null")
         .groupBy("knowledge_base_id", F.col("virtual_path").alias("path"))

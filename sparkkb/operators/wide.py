@@ -60,7 +60,9 @@ def cells(values: DataFrame, definitions: DataFrame) -> DataFrame:
     Of several usable rows the greatest updated_at wins, then the greatest kid; a null updated_at comes last. Rows without entity have no cell.
     """
     live = definitions.where("is_deleted = false and kid is not null").select(F.col("kid").alias("property_def_id"), F.col("value_type").alias("as_type"))
-    rows = values.where("is_deleted = false and fs_entry_id is not null").join(F.broadcast(live.distinct()), "property_def_id")  # attributes() checks their number
+    needed = values.where("is_deleted = false and fs_entry_id is not null").select(
+        "property_def_id", "fs_entry_id", "kid", "updated_at", "value_string", "value_number", "value_boolean", "value_datetime", "value_string_list")
+    rows = needed.join(F.broadcast(live.distinct()), "property_def_id")  # attributes() checks their number
     text = F.regexp_replace("value_string", f"^{BLANKS}|{BLANKS}$", "")
     of = F.col("as_type")
     typed = {

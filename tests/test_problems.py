@@ -14,8 +14,8 @@ def day(n):
 
 
 ENTRY = "kid long, knowledge_base_id long, entry_type string, virtual_path string, is_deleted boolean, created_at timestamp, extra string"
-REF = "kid long, knowledge_base_id long, source_fs_entry_id long, target_fs_entry_id long, original_target string, created_at timestamp, period string"
-VALUE = "kid long, fs_entry_id long, property_def_id long, value_string string, value_number decimal(20,6), value_boolean boolean, value_datetime timestamp, value_string_list array<string>, is_deleted boolean, created_at timestamp, updated_at timestamp, value_type string"
+REF = "kid long, knowledge_base_id long, source_fs_entry_id long, target_fs_entry_id long, original_target string, created_at timestamp, period string, path string, source_path string"
+VALUE = "kid long, fs_entry_id long, property_def_id long, value_string string, value_number decimal(20,6), value_boolean boolean, value_datetime timestamp, value_string_list array<string>, is_deleted boolean, created_at timestamp, updated_at timestamp, value_type string, as_type string, best string"
 DEFINITION = "kid long, property_name string, value_type string, is_deleted boolean, created_at timestamp"
 CHUNK = "kid long, fs_entry_id long, created_at timestamp, table_name string, bits binary"
 
@@ -45,7 +45,7 @@ def test_causes_and_late_within_a_month(spark):
     [("x.md", None), ("./x.md#top", None), ("/a/x.md?raw=1", None), ("../a/x.md", None), ("X.md", "missing"), ("/a", "missing"), ("gone.md", "deleted"), ("late%20%25.md", "late"), ("late%20%.md", "late"), ("two.md", None), ("../../x.md", "missing"), ("#here", "missing"), ("a+b.md", "missing")],
 )
 def test_paths(spark, target, cause):
-    links = [(1, 1, 2, None, target, day(10), None), (2, 1, 2, None, None, day(10), "p")]
+    links = [(1, 1, 2, None, target, day(10), None, "p", None), (2, 1, 2, None, None, day(10), "p", None, "/a")]
     assert [x[2] for x in found(spark, links=links)] == ([cause] if cause else [])
 
 
@@ -62,7 +62,7 @@ def test_empty_tables(spark):
 
 
 def cell(kind, **given):
-    base = dict(kid=1, fs_entry_id=5, property_def_id=1, value_string=None, value_number=None, value_boolean=None, value_datetime=None, value_string_list=None, is_deleted=False, created_at=day(0), updated_at=day(0), value_type=kind)
+    base = dict(kid=1, fs_entry_id=5, property_def_id=1, value_string=None, value_number=None, value_boolean=None, value_datetime=None, value_string_list=None, is_deleted=False, created_at=day(0), updated_at=day(0), value_type=kind, as_type="clash", best=None)
     row = base | given
     return tuple({**row, "value_number": row["value_number"] and Decimal(row["value_number"])}.values())
 
