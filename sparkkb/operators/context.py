@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby, islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,43 +45,68 @@ def cut_at_sentence(text: str, budget: int) -> str:
     return head[: max((head.rfind(c) for c in ENDERS), default=-1) + 1]
 
 
+def taken(items: Iterable[tuple[int, object, str]], budget: int) -> Iterator[tuple[object, str, bool]]:
+    """(item, text, whole) of (round, item, text) in order until the budget is used or a round gives nothing: an item that does not fit is cut at a sentence if LEAST_CUT tokens are left, else skipped."""
+    left, at, took = budget, 1, False
+    for n, item, text in items:
+        if n != at:
+            if n != at + 1 or not took:
+                return
+            at, took = n, False
+        if left <= 0 or n > MOST_ROUNDS:
+            return
+        if (size := tokens_of(text)) <= left:
+            yield item, text, True
+            left, took = left - size, True
+        elif left >= LEAST_CUT and (part := cut_at_sentence(text, left)) and len(part) < len(text):
+            yield item, part, False
+            left, took = left - tokens_of(part), True
+
+
 def round_robin(groups: list[list[tuple[int, str]]], budget: int) -> list[tuple[int, str, bool]]:
-    """(item, text, whole) taken in turns from groups until the budget is used: an item that does not fit is cut at a sentence if LEAST_CUT tokens are left, else skipped."""
-    at, left, out = [0] * len(groups), budget, []
-    for _ in range(MOST_ROUNDS):
-        took = False
-        for g, items in enumerate(groups):
-            if at[g] >= len(items) or left <= 0:
-                continue
-            item, text = items[at[g]]
-            at[g] += 1
-            if (size := tokens_of(text)) <= left:
-                out.append((item, text, True))
-                left, took = left - size, True
-            elif left >= LEAST_CUT and (part := cut_at_sentence(text, left)) and len(part) < len(text):
-                out.append((item, part, False))
-                left, took = left - tokens_of(part), True
-        if not took or left <= 0:
-            break
-    return out
-
-
-def context(hits: DataFrame, query: str, group: str, budget: int, most: int) -> DataFrame:
+    """(item, text, whole) taken in turns from groups, as taken() does."""
+    longest = max(map(len, groups), default=0)
+    return list(taken(((n + 1, *g[n]) for n in range(longest) for g in groups if n < len(g)), budget))
+
+
+def reachable(hits: DataFrame, query: str, order: list[Column], budget: int) -> DataFrame:
+    """Hits that taken() may take, whatever else there is.
+
+    A hit is surely taken while `need` tokens are left, and then uses at least `least`. Those before it in order with the same two numbers were taken as well
+    if that much is left at the hit. So after k of them with k * least > budget - need it cannot be, and a query keeps some budget * log(budget) hits, and
+    the empty ones, which use nothing and are all returned while tokens are left.
+    """
+    tokens = lambda n: F.floor(n * F.lit(TOKENS_PER_CHARACTER))
+    whole, cut = tokens(F.length("text")), tokens(F.length(F.split("text", f"[{ENDERS}]", 2)[0]) + 1)
+    need = F.least(whole, F.greatest(cut, F.lit(LEAST_CUT)))
+    sized = hits.withColumn("__need", need).withColumn("__least", F.when(F.col("__need") == whole, whole).otherwise(cut)).where(F.col("__need") <= budget)
+    placed = sized.withColumn("__before", F.row_number().over(Window.partitionBy(query, "__need", "__least").orderBy(*order)) - 1)
+    return placed.where(F.col("__before") * F.col("__least") <= budget - F.col("__need")).drop("__need", "__least", "__before")
+
+
+def context(hits: DataFrame, query: str, group: str, budget: int, most: int = MOST_ROUNDS) -> DataFrame:
     """(query, position, item, text, whole): hits (query, group, item, text, score) under a token budget for each query, in turns over its groups.
 
-    At most `most` hits of a group are looked at, which is more than a budget can hold; a query's share is therefore bounded.
+    There are at most MOST_ROUNDS turns, so that many hits of a group can be reached. The hits of a query that its budget can reach go through one
+    task in order, a batch at a time. A null group is a group.
     """
     best = ranked(hits.where("text is not null"), [query, group], "score", "item").where(F.col("rank") <= most)
     top = best.withColumn("of", F.max("score").over(Window.partitionBy(query, group)))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["of", group, "rank"], ascending=[False, True, True])
-        groups = [list(zip(g["item"], g["text"], strict=True)) for _, g in frame.groupby(group, sort=False)]
-        rows = [(frame[query].iloc[0], i, *x) for i, x in enumerate(round_robin(groups, budget), 1)]
-        return pd.DataFrame(rows, columns=[query, "position", "item", "text", "whole"])
+    order = [F.col("rank").asc(), F.col("of").desc_nulls_last(), F.col(group).asc_nulls_last()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = iter(batches)
+        if (first := next(batches, None)) is None:
+            return
+        rows = (r for b in chain([first], batches) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        kind = pa.schema([first.schema.field(0), ("position", pa.int32()), first.schema.field(2), first.schema.field(3), ("whole", pa.bool_())])
+        found = ((q, n, *x) for q, mine in groupby(rows, lambda r: r[0]) for n, x in enumerate(taken((r[1:] for r in mine), budget), 1))
+        while some := list(islice(found, 1000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), kind, strict=True)], schema=kind)
 
     kind = dict(hits.dtypes)
-    return top.groupBy(query).applyInPandas(run, f"{query} {kind[query]}, position int, item {kind['item']}, text string, whole boolean")
+    ordered = reachable(top, query, order, budget).repartition(query).sortWithinPartitions(F.col(query), *order)
+    return ordered.select(query, "rank", "item", "text").mapInArrow(run, f"`{query}` {kind[query]}, position int, item {kind['item']}, text string, whole boolean")
 
 
 def rendered(rows: DataFrame, query: str) -> DataFrame:
@@ -152,7 +179,7 @@ def group_rank(spark, sf_dir):
 def round_robin_context(spark, sf_dir):
     """For each base, its chunks of the most lines as a context, in turns over its files."""
     hits = table(spark, sf_dir, "knowledge_chunk").select("knowledge_base_id", "fs_entry_id", F.col("kid").alias("item"), F.col("chunk_text").alias("text"), (F.col("end_line") - F.col("start_line")).cast("double").alias("score"))
-    return context(hits, "knowledge_base_id", "fs_entry_id", token_budget(8192), 64)
+    return context(hits, "knowledge_base_id", "fs_entry_id", token_budget(8192))
 
 
 def rendered_context(spark, sf_dir):

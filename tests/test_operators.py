@@ -1,6 +1,7 @@
 """Behaviour that SQL does not show: validation, paths, text parsing, budgets, archives, streams."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -197,3 +198,26 @@ def test_history_and_confidence_on_ties(spark):
     assert [r["history"] for r in context.history(rows, "who", ["t", "said"], "said").orderBy("t", "said").collect()] == [[], ["a"], ["a", "b"], ["a", "b"]]
     none = spark.createDataFrame([("g", None, 1)], "g string, s double, i long")
     assert context.confidence(none, "g", "s", "i").first()["confidence"] == 0.0
+
+
+def test_context_reaches_all_rounds_and_files(spark):
+    """As round_robin() of all hits: a hot file of short texts, files without a sentence end, small budgets, null groups and scores, repeated rows."""
+    rng = random.Random(7)
+    rows = [("hot", "f", i, "x" * 30, float(i)) for i in range(150)] + [("hot", "f", 149, "x" * 30, 149.0)]
+    rows += [("long", f"f{i}", i, "y" * 900, 1.0) for i in range(200)] + [("long", "g", 900, "One. " + "z" * 900, 0.5), ("long", "h", 901, "w" * 8, None), ("long", None, 902, "", None)]
+    rows += [(None, rng.choice("abcdefgh"), i, rng.choice(["", ".", "ab.", "😀" * 40 + "。", "q" * 20]) + "t" * rng.randrange(90), rng.choice([None, 1.0, 2.0])) for i in range(400)] + [("null", "a", 1, None, 1.0)]
+    hits = spark.createDataFrame(rows, "q string, g string, item long, text string, score double").repartition(5)
+    for budget in (0, 40, 300, 700, 3000, 4553):
+        got = {}
+        for r in context.context(hits, "q", "g", budget).orderBy("position").collect():
+            got.setdefault(r["q"], []).append((r["position"], r["item"], r["text"], r["whole"]))
+        want = {}
+        for q in {r[0] for r in rows}:
+            files_of = {}
+            for r in sorted((r for r in rows if r[0] == q and r[3] is not None), key=lambda r: (r[4] is None, -(r[4] or 0), r[2])):
+                files_of.setdefault(r[1], []).append(r)
+            turns = sorted(files_of.values(), key=lambda g: (g[0][4] is None, -(g[0][4] or 0), g[0][1] is None, g[0][1] or ""))
+            if found := context.round_robin([[(r[2], r[3]) for r in g] for g in turns], budget):
+                want[q] = [(n, *x) for n, x in enumerate(found, 1)]
+        assert got == want
+    assert len(got["hot"]) == 101
