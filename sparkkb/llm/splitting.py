@@ -11,7 +11,8 @@ A text is cut into ranges of RANGE characters; a worker sees a range and a halo,
    and, as sums before each range, its first piece number and line.
 3. Each range emits its pieces by offset from its entry (``pieces``).
 
-A text of one range needs no second step: its only entry is 0.
+A text of one range needs no second step: its only entry is 0. Texts of more ranges are put together by a key
+of their row, stored with the rows, so ids may be null or repeated.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkkb.session import materialize
+
 LIMIT = 819
 OVERLAP = 64
 RANGE = 1 << 16
@@ -74,6 +77,11 @@ def oversized(texts: DataFrame, text_col: str, limit: int = LIMIT) -> DataFrame:
     return texts.where(F.length(text_col) > limit)
 
 
+def keyed(texts: DataFrame, text_col: str, what: str, size: int = RANGE) -> DataFrame:
+    """The texts of more than one range, stored with a key of their own for each row."""
+    return materialize(texts.where(F.length(text_col) > size).withColumn("__key", F.monotonically_increasing_id()), what)
+
+
 def ranges(texts: DataFrame, text_col: str, limit: int = LIMIT, size: int = RANGE) -> DataFrame:
     """Rows of texts by range: range_no, ranges, part (the range) and tail (the halo after it)."""
     n = F.ceil(F.length(text_col) / size).cast("int")
@@ -82,11 +90,15 @@ def ranges(texts: DataFrame, text_col: str, limit: int = LIMIT, size: int = RANG
     return out.withColumn("part", F.substring(F.col(text_col), begin + 1, F.lit(size))).withColumn("tail", F.substring(F.col(text_col), begin + size + 1, F.lit(2 * limit)))
 
 
-def stretches(parts: DataFrame, id_col: str) -> DataFrame:
-    """(id, longest): the longest stretch without a boundary character, stitched over the ranges of a text."""
-    lengths = F.transform(F.split("part", _RUN, -1), lambda x: F.length(x))
-    table = parts.select(id_col, "range_no", lengths.alias("l")).select(
-        id_col, F.struct("range_no", F.element_at("l", 1).alias("first"), F.array_max("l").alias("most"), F.element_at("l", -1).alias("last"), (F.size("l") == 1).alias("open")).alias("s"))
+def _lengths(text: str) -> Column:
+    """Lengths of the stretches without a boundary character."""
+    return F.transform(F.split(text, _RUN, -1), lambda x: F.length(x))
+
+
+def stretches(parts: DataFrame, key: str, *columns: str) -> DataFrame:
+    """(columns, longest): the longest stretch without a boundary character, stitched over the ranges of a text, which have one key and the same columns."""
+    table = parts.select(key, *columns, "range_no", _lengths("part").alias("l")).select(
+        key, *columns, F.struct("range_no", F.element_at("l", 1).alias("first"), F.array_max("l").alias("most"), F.element_at("l", -1).alias("last"), (F.size("l") == 1).alias("open")).alias("s"))
     stitched = F.aggregate(
         F.array_sort(F.collect_list("s")),
         F.struct(F.lit(0).alias("run"), F.lit(0).alias("longest")),
@@ -95,16 +107,18 @@ def stretches(parts: DataFrame, id_col: str) -> DataFrame:
             F.greatest(acc["longest"], acc["run"] + s["first"], s["most"]).alias("longest")),
         lambda acc: acc["longest"],
     )
-    return table.groupBy(id_col).agg(stitched.alias("longest"))
+    return table.groupBy(key).agg(*[F.first(c).alias(c) for c in columns], stitched.alias("longest")).drop(key)
 
 
-def forced(texts: DataFrame, id_col: str, text_col: str, limit: int = LIMIT) -> DataFrame:
+def forced(texts: DataFrame, id_col: str, text_col: str, limit: int = LIMIT, size: int = RANGE) -> DataFrame:
     """(id, forced): every text of more than limit characters, and 1 where a cut without a boundary is unavoidable.
 
-    Null texts have no length. Ids are taken to be unique; rows with the same id count as one text of all their ranges' worst.
+    Null texts have no length. Each row counts for itself, whatever its id.
     """
-    parts = ranges(oversized(texts.select(id_col, text_col), text_col, limit), text_col, limit)
-    return stretches(parts, id_col).select(id_col, (F.col("longest") > limit).cast("int").alias("forced"))
+    source = oversized(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", limit)
+    single = source.where(F.length("text") <= size).select("id", F.array_max(_lengths("text")).alias("longest"))
+    many = stretches(ranges(keyed(source, "text", "stretches", size), "text", limit, size), "__key", "id")
+    return single.unionByName(many).select(F.col("id").alias(id_col), (F.col("longest") > limit).cast("int").alias("forced"))
 
 
 def _passages(limit: int, overlap: int, size: int):
@@ -128,7 +142,7 @@ def _passages(limit: int, overlap: int, size: int):
                         after[p] = (end, count)
                 known = [after.get(e, (e, 0)) for e in range(limit)]
                 out.append(([int(e) - size for e, _ in known], [c for _, c in known]))
-            yield pd.DataFrame({"id": f["id"], "range_no": f["range_no"], "exits": [e for e, _ in out], "pieces": [c for _, c in out], "lines": [p.count("\n") for p in f["part"]]})
+            yield pd.DataFrame({"__key": f["__key"], "range_no": f["range_no"], "exits": [e for e, _ in out], "pieces": [c for _, c in out], "lines": [p.count("\n") for p in f["part"]]})
 
     return run
 
@@ -166,16 +180,17 @@ def pieces(texts: DataFrame, id_col: str, text_col: str, line_col: str | None =
 
     A piece ends at the strongest boundary in its second half (blank line, line, sentence, blank), else at the last boundary in it, and only
     without any at the limit. It begins at most overlap characters before the end of the one before, fewer to begin at a boundary. Lines count
-    from line_col, or from 1 where that is null or not given. Texts up to the limit, nulls among them, have no pieces. Ids must be unique.
+    from line_col, or from 1 where that is null or not given. Texts up to the limit, nulls among them, have no pieces. Each row
+    gives its own pieces, whatever its id.
     """
     first_line = F.coalesce(F.col(line_col), F.lit(1)).cast("long") if line_col else F.lit(1).cast("long")
-    source = oversized(texts, text_col, limit).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), first_line.alias("first_line"))
-    parts = ranges(source, "text", limit, size).drop("text")
+    source = oversized(texts, text_col, limit).select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).alias("text"), first_line.alias("first_line"))
     zero = F.lit(0).cast("long")
-    single = parts.where("ranges = 1").withColumns({"entry": zero, "before": zero, "line": zero})
-    many = parts.where("ranges > 1")
-    tables = many.select("id", "range_no", "part", "tail").mapInPandas(_passages(limit, overlap, size), "id long, range_no int, exits array<int>, pieces array<int>, lines int")
-    entries = tables.groupBy("id").applyInPandas(lambda key, f: _follow(f).assign(id=key[0]), "range_no int, entry long, before long, line long, id long")
-    both = single.unionByName(many.join(entries, ["id", "range_no"]))
+    single = ranges(source.where(F.length("text") <= size), "text", limit, size).drop("text").withColumns({"entry": zero, "before": zero, "line": zero})
+    many = ranges(keyed(source, "text", "pieces", size), "text", limit, size).drop("text")
+    tables = many.select("__key", "range_no", "part", "tail").mapInPandas(_passages(limit, overlap, size), "__key long, range_no int, exits array<int>, pieces array<int>, lines int")
+    entries = tables.groupBy("__key").applyInPandas(lambda key, f: _follow(f).assign(__key=key[0]), "range_no int, entry long, before long, line long, __key long")
     columns = ["id", "part", "tail", "entry", "before", "line", "first_line"]
-    return both.select(columns).mapInPandas(_emit(limit, overlap, size), "id long, chunk_no int, start_line long, end_line long, chunk_text string").withColumnRenamed("id", id_col)
+    both = single.select(columns).unionByName(many.join(entries, ["__key", "range_no"]).select(columns))
+    found = both.mapInPandas(_emit(limit, overlap, size), "id string, chunk_no int, start_line long, end_line long, chunk_text string")
+    return found.withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)

@@ -71,6 +71,18 @@ def test_pieces_are_the_same_for_any_range_size(spark):
                 assert rebuilt([r[4] for r in mine]) == t
 
 
+def test_null_and_repeated_ids_above_one_range(spark):
+    """Each row for itself, whatever its id, as a text of the same kind alone in one range."""
+    long, tail, big = "ab cd. " * 400, "x" * 500 + " " + "ab cd. " * 300 + " " + "y" * 500, 2**60 + 1
+    rows = [(None, long), (None, long), (None, tail), (7, long), (7, long), (7, tail), (7, tail), (big, tail), (None, "z" * 2000), (None, "short"), (None, None)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    order = lambda found: sorted(map(tuple, found), key=str)
+    by_text = {t: splitting.pieces(spark.createDataFrame([(1, t)], "id long, text string"), "id", "text").collect() for t in {t for _, t in rows if t}}
+    want = [(i, *r[1:]) for i, t in rows if t for r in by_text[t]]
+    assert order(splitting.pieces(df, "id", "text", size=1000).collect()) == order(splitting.pieces(df, "id", "text").collect()) == order(want)
+    assert order(splitting.forced(df, "id", "text", size=1000).collect()) == order(splitting.forced(df, "id", "text").collect()) == order((i, brute_forced(t)) for i, t in rows if t and len(t) > 819)
+
+
 # --- near duplicates
 
 
