@@ -86,7 +86,15 @@ def code_mask(lines: list[str]) -> list[bool]:
     return mask
 
 
-def headings(lines: list[str], markdown: bool = True) -> list[int]:
+def heading_patterns(config: str) -> tuple[tuple, ...]:
+    """Heading shapes in place of HEADINGS from a JSON array of objects: name, regex, explicit_level, markdown_only, reject_if_contains_colon."""
+    found = json.loads(config)
+    if not isinstance(found, list):
+        raise ValueError("heading patterns are a JSON array")
+    return tuple((x["name"], re.compile(x["regex"]), x.get("explicit_level") or 0, bool(x.get("markdown_only")), bool(x.get("reject_if_contains_colon"))) for x in found)
+
+
+def headings(lines: list[str], markdown: bool = True, patterns: tuple[tuple, ...] = HEADINGS) -> list[int]:
     """The level of each line, 0 for body. Explicit levels are those of markdown; other kinds are ranked by first appearance."""
     fenced = code_mask(lines) if markdown else [False] * len(lines)
     kinds: list[tuple[str, int]] = []
@@ -94,15 +102,16 @@ def headings(lines: list[str], markdown: bool = True) -> list[int]:
     for line, inside in zip(lines, fenced, strict=True):
         bare = unicodedata.normalize("NFKC", line).strip()
         kind, number = ("", 0), None
-        for name, pattern, level, only in HEADINGS if not inside else ():
+        for name, pattern, level, only, *colon in patterns if not inside else ():
             m = pattern.match(bare if name != "enumeration" else line.strip())
             if not m or (only and not markdown) or (not only and _INLINE.search(bare)):
                 continue
-            if name in ("nested", "numbered") and (":" in bare or "：" in bare):
+            own = not colon  # the shapes of HEADINGS have rules by name
+            if (own and name in ("nested", "numbered") or any(colon)) and (":" in bare or "：" in bare):
                 continue
-            if name == "nested":
+            if own and name == "nested":
                 name = f"nested_{m.group(1).count('.') + 1}"
-            if name == "numbered":
+            if own and name == "numbered":
                 number = int(m.group(1))
             kind = (name, level)
             break

@@ -56,6 +56,20 @@ def shown_events(events: DataFrame, roles: list[str]) -> DataFrame:
     return shown.join(known, "id", "left").select("id", "seq", "role", F.coalesce("parents", F.array().cast("array<bigint>")).alias("parent_ids"))
 
 
+def sub_answers(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, text): the sub-answers (query_text, query_type, answer, reasoning, confidence) of each key as one text, with confidence to two places and reasoning as bullets."""
+    word = lambda c, default: F.coalesce(F.col(c), default)
+    fields = F.struct(F.col(order).alias("place"), F.col("query_text"), word("query_type", F.lit("single-hop")).alias("query_type"), word("answer", F.lit("")).alias("answer"), word("reasoning", F.array().cast("array<string>")).alias("reasoning"), word("confidence", F.lit(0.0)).alias("confidence"))
+
+    def part(x: Column, i: Column) -> Column:
+        n = (i + 1).cast("string")
+        head = F.concat(F.lit("## Sub-query "), n, F.lit(": "), F.coalesce(x["query_text"], F.concat(F.lit("Sub-query "), n)), F.lit("\nType: "), x["query_type"], F.lit("\nConfidence: "), F.format_string("%.2f", x["confidence"]), F.lit("\n\n### Answer\n"), x["answer"], F.lit("\n"))
+        steps = F.array_join(F.transform(x["reasoning"], lambda s: F.concat(F.lit("- "), F.coalesce(s, F.lit("")), F.lit("\n"))), "")
+        return F.concat(head, F.when(F.size(x["reasoning"]) > 0, F.concat(F.lit("\n### Reasoning Process\n"), steps)).otherwise(""))
+
+    return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(fields)), part), "\n\n---\n\n").alias("text"))
+
+
 def last_said(messages: DataFrame, key: str, order: list[str], text: str) -> DataFrame:
     """The last message of each conversation that is not blank."""
     said = messages.where(F.trim(text) != "")

@@ -6,6 +6,7 @@ Texts are independent, so they are chunked where they lie, batch by batch, witho
 from __future__ import annotations
 
 import re
+import zipfile
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from sparkkb.functions import markup
 from sparkkb.functions.text import TOKEN_SQL, line_count, line_window, mime_type, normalize_converted, token_estimate, tokens
 from sparkkb.operators.links import SPAN
 from sparkkb.session import table
+from sparkkb.sources.files import sheet_to_text
 
 SOFT, HARD = 512, 819
 #: A body below this, and a part below that, are joined up to the hard limit.
@@ -54,8 +56,28 @@ def _table_parts(lines: list[str], size: int) -> list[str]:
     return [*out, "\n".join(part)]
 
 
+def inline_table(line: str) -> list[str] | None:
+    """The rows of a table written in one line, head, separators and cells; None if it is none, or its cells do not make rows."""
+    if not line.lstrip().startswith("|") or not re.search(r"\|\s*:?-{3,}:?\s*\|", line) or any("|" in m.group() for m in _SPAN.finditer(line)):
+        return None
+    cells = [c.strip() for c in re.split(r"(?<!\\)\|", line.strip())[1:]]
+    if cells and not cells[-1]:
+        cells.pop()
+    at = [bool(re.fullmatch(r":?-{3,}:?", c)) for c in cells]
+    first = at.index(True) if True in at else 0
+    n = next((k for k, x in enumerate(at[first:]) if not x), len(at) - first)
+    gap = first - n  # rows follow each other directly, or with an empty cell between
+    if n < 2 or gap not in (0, 1) or (gap and cells[n]):
+        return None
+    starts = range(0, len(cells), n + gap)
+    if gap and any(cells[k + n] for k in starts if k + n < len(cells)):
+        return None
+    rows = ["| " + " | ".join(cells[k : k + n]) + " |" for k in starts]
+    return rows if len(rows) > 2 else None
+
+
 def split_block(text: str, size: int = HARD) -> list[str]:
-    """A block in parts up to size where that is possible: links that fill a chunk alone, then tables by rows, then sentences, then anywhere but in links."""
+    """A block in parts up to size where that is possible: links that fill a chunk alone, then tables by rows (in one line as well), then sentences, then anywhere but in links."""
     alone = [m.span() for m in _SPAN.finditer(text) if m.end() - m.start() > SOFT]
     if alone:
         edges = sorted({0, len(text), *(x for s in alone for x in s)})
@@ -65,6 +87,13 @@ def split_block(text: str, size: int = HARD) -> list[str]:
     lines = text.split("\n")
     if len(lines) >= 3 and lines[0].lstrip().startswith("|"):
         return _table_parts(lines, size)
+    if len(lines) == 1 and (rows := inline_table(text)):
+        return [p for t in _table_parts(rows, size) for p in ([t] if len(t) <= size else _text_parts(t, size))]
+    return _text_parts(text, size)
+
+
+def _text_parts(text: str, size: int) -> list[str]:
+    """A text by sentences, and anywhere but in links where a sentence is too long."""
     out: list[str] = []
     for s in _sentences(text):
         for piece in _hard_cut(s, size) if len(s) > size else [s]:
@@ -75,10 +104,11 @@ def split_block(text: str, size: int = HARD) -> list[str]:
     return out
 
 
-def chunk(text: str, markdown: bool = True) -> list[tuple[int, int, int, str]]:
+def chunk(text: str, markdown: bool = True, patterns: tuple[tuple, ...] = markup.HEADINGS) -> list[tuple[int, int, int, str]]:
     """(chunk_no, start_line, end_line, text): chunks with the headings above them; lines cover the body, or the heading itself where it has none."""
     lines = text.splitlines()
-    levels = markup.headings(lines, markdown)
+    levels = markup.headings(lines, markdown, patterns)
+    alone = [len(x) > HARD and inline_table(x) is not None for x in lines]
     out: list[tuple[int, int, int, str]] = []
     stack: list[list] = []  # [level, line number, text, has a body]
     body, first, last, held = "", 0, 0, False
@@ -114,8 +144,8 @@ def chunk(text: str, markdown: bool = True) -> list[tuple[int, int, int, str]]:
         if not lines[i].strip():
             i += 1
             continue
-        j = i
-        while j < len(lines) and lines[j].strip() and not levels[j]:
+        j = i + 1
+        while j < len(lines) and lines[j].strip() and not levels[j] and not alone[i] and not alone[j]:
             j += 1
         at = i + 1
         for part in split_block("\n".join(lines[i:j])):
@@ -135,12 +165,19 @@ def chunk(text: str, markdown: bool = True) -> list[tuple[int, int, int, str]]:
     return out
 
 
-def chunks(texts: DataFrame, id_col: str, text_col: str, markdown: bool = True) -> DataFrame:
-    """(id, chunk_no, start_line, end_line, chunk_text) of every text; null and blank texts have no chunks. Front matter is left out, lines count after it."""
+def chunks(texts: DataFrame, id_col: str, text_col: str, markdown: bool = True, patterns: tuple[tuple, ...] = markup.HEADINGS) -> DataFrame:
+    """(id, chunk_no, start_line, end_line, chunk_text) of every text; null and blank texts have no chunks. Front matter is left out, lines count after it.
+
+    Text that is not markdown loses its noise lines as well; patterns are the shapes of headings, see markup.heading_patterns().
+    """
+
+    def body(text: str) -> str:
+        rest = markup.front_matter(text)[1]
+        return rest if markdown else "\n".join(markup.drop_noise(rest.splitlines()))
 
     def run(frames):
         for f in frames:
-            rows = [(i, *c) for i, t in zip(f["id"], f["text"], strict=True) if t for c in chunk(markup.front_matter(t)[1], markdown)]
+            rows = [(i, *c) for i, t in zip(f["id"], f["text"], strict=True) if t for c in chunk(body(t), markdown, patterns)]
             yield pd.DataFrame(rows, columns=["id", "chunk_no", "start_line", "end_line", "chunk_text"])
 
     source = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -160,16 +197,30 @@ def front_matters(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def converted(texts: DataFrame, id_col: str, text_col: str, kind_col: str) -> DataFrame:
-    """(id, text, status): text of each file by its kind (md, markdown, txt, html, htm, csv); other kinds are unsupported, without text."""
+    """(id, text, status): text of each file by its kind (md, markdown, txt, html, htm, csv, and xlsx where text_col is binary); other kinds are unsupported, without text. Binary content that cannot be read has failed."""
+    binary = dict(texts.dtypes)[text_col] == "binary"
+
+    def read(content: object, kind: str) -> str | None:
+        if not isinstance(content, (bytes, bytearray)):
+            return content if isinstance(content, str) else None
+        try:
+            return sheet_to_text(bytes(content)) if kind == "xlsx" else bytes(content).decode("utf-8-sig")
+        except (ValueError, KeyError, SyntaxError, zipfile.BadZipFile):
+            return None
 
     @F.pandas_udf("string")
     def extract(text: pd.Series, kind: pd.Series) -> pd.Series:
         by = {"html": markup.html_to_text, "htm": markup.html_to_text, "csv": markup.csv_to_text, "md": lambda t: markup.front_matter(t)[1], "markdown": lambda t: markup.front_matter(t)[1], "txt": str}
-        return pd.Series([by[k](t) if isinstance(t, str) and k in by else None for t, k in zip(text, kind, strict=True)], dtype=object)
+        by |= {"xlsx": str} if binary else {}
+        return pd.Series([by[k](t) if k in by and (t := read(x, k)) is not None else None for x, k in zip(text, kind, strict=True)], dtype=object)
 
     kind = F.lower(F.col(kind_col))
-    known = kind.isin("md", "markdown", "txt", "html", "htm", "csv")
-    return texts.select(F.col(id_col), normalize_converted(extract(F.col(text_col), kind)).alias("text"), F.when(F.coalesce(known, F.lit(False)), "converted").otherwise("unsupported").alias("status"))
+    known = kind.isin("md", "markdown", "txt", "html", "htm", "csv", *["xlsx"] * binary)
+    said = normalize_converted(extract(F.col(text_col), kind))
+    status = F.when(F.coalesce(known, F.lit(False)), "converted").otherwise("unsupported")
+    if binary:
+        status = F.when((status == "converted") & F.col(text_col).isNotNull() & said.isNull(), "failed").otherwise(status)
+    return texts.select(F.col(id_col), said.alias("text"), status.alias("status"))
 
 
 def line_table(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:

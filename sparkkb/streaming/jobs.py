@@ -61,3 +61,8 @@ def run_to_end(stream: DataFrame, out: str, checkpoint: str, mode: str = "append
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     query = writer.foreachBatch(sink).start() if sink else writer.format("parquet").option("path", out).start()
     query.awaitTermination()
+
+
+def periodic(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "600 seconds") -> StreamingQuery:
+    """Run the sink on what has arrived, then wait for the interval, until the query is stopped."""
+    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()

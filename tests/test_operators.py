@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkkb.functions import markup
 from sparkkb.functions.paths import decode_percent, normalize_path
-from sparkkb.operators import chunking, context, links, retrieval, tree
+from sparkkb.operators import answers, chunking, context, links, retrieval, tree
 from sparkkb.plans import filters
 from sparkkb.session import scratch_path
 from sparkkb.sources import files
@@ -221,3 +221,50 @@ def test_context_reaches_all_rounds_and_files(spark):
                 want[q] = [(n, *x) for n, x in enumerate(found, 1)]
         assert got == want
     assert len(got["hot"]) == 101
+
+
+@pytest.mark.parametrize("between", ["", " |"])
+def test_tables_in_one_line_keep_their_head(between):
+    rows = [["name", "size"], ["---", "---"], *[[f"r{i} " + "x" * 20, str(i)] for i in range(90)]]
+    line = "|" + between.join(" " + " | ".join(r) + " |" for r in rows)
+    got = chunking.chunk(f"# T\n\nbefore\n{line}\nafter")
+    parts = [c for c in got if "| r" in c[3]]
+    assert len(parts) > 2 and all("| name | size |\n| --- | --- |\n" in c[3] and len(c[3]) <= chunking.HARD + 10 and c[1] <= 4 <= c[2] for c in parts)
+    whole = "\n".join(c[3] for c in got)
+    assert all(whole.count(f"| r{i} {'x' * 20} | {i} |") == 1 for i in range(90)) and "before" in whole and "after" in whole
+    assert chunking.inline_table("| a | b | c |") is None and chunking.inline_table("| a | b | c | --- | --- | 1 | 2 |") is None
+
+
+def test_custom_headings_and_noise(spark):
+    shapes = markup.heading_patterns('[{"name": "part", "regex": "^Part \\\\d+", "reject_if_contains_colon": true}, {"name": "nested", "regex": "^S\\\\d"}]')
+    assert markup.headings(["Part 1", "S1", "Part 2: x", "# no", "1.1 Old"], True, shapes) == [1, 2, 0, 0, 0]
+    df = spark.createDataFrame([(1, "Part 1\n\n1 / 3\n\nbody\n\na.md\n\na.md")], "id long, text string")
+    assert [r["chunk_text"] for r in chunking.chunks(df, "id", "text", False, shapes).collect()] == ["Part 1\n\nbody"]
+
+
+def test_sheets_are_converted(spark):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    book = archive(("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="S"/></sheets></workbook>'), ("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c><v>3</v></c></row></sheetData></worksheet>'))
+    df = spark.createDataFrame([(1, bytearray(book), "XLSX"), (2, bytearray(b"no zip"), "xlsx"), (3, bytearray(b"\xef\xbb\xbfhi"), "txt"), (4, None, "txt"), (5, bytearray(b"x"), "pdf")], "id long, content binary, kind string")
+    assert {r["id"]: (r["text"], r["status"]) for r in chunking.converted(df, "id", "content", "kind").collect()} == {
+        1: ("## S\n3", "converted"), 2: (None, "failed"), 3: ("hi", "converted"), 4: (None, "converted"), 5: (None, "unsupported")}
+
+
+def test_sub_answers(spark):
+    df = spark.createDataFrame([("u", 2, None, None, None, None, None), ("u", 1, "q", "multi", "yes", ["a", "b"], 0.456)], "k string, n int, query_text string, query_type string, answer string, reasoning array<string>, confidence double")
+    assert answers.sub_answers(df, "k", "n").first()["text"] == (
+        "## Sub-query 1: q\nType: multi\nConfidence: 0.46\n\n### Answer\nyes\n\n### Reasoning Process\n- a\n- b\n\n\n---\n\n## Sub-query 2: Sub-query 2\nType: single-hop\nConfidence: 0.00\n\n### Answer\n\n")
+
+
+def test_periodic_runs_again(spark, tmp_path):
+    put = lambda n: spark.range(n, n + 1).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    put(1)
+    seen = []
+    query = jobs.periodic(jobs.arriving(spark, f"{tmp_path}/in", "id long"), lambda b, _: seen.extend(r["id"] for r in b.collect()), f"{tmp_path}/state", "1 second")
+    try:
+        query.processAllAvailable()
+        put(2)
+        query.processAllAvailable()
+        assert seen == [1, 2] and query.isActive
+    finally:
+        query.stop()
