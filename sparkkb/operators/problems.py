@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkkb.operators import orphans, wide
-from sparkkb.session import table
+from sparkkb.session import materialize, table
 
 
 def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +25,9 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(fs_entry_id, property_def_id, kid): the row that fills each cell of the wide table."""
-    return wide.filled_by(*wide.wide(table(spark, sf_dir, "knowledge_file_metadata_value"), table(spark, sf_dir, "knowledge_metadata_property_def"), with_values=False))
+    """(fs_entry_id, property_def_id, kid): the row that fills each cell of the wide table, which is stored whole first."""
+    whole, columns = wide.wide(table(spark, sf_dir, "knowledge_file_metadata_value"), table(spark, sf_dir, "knowledge_metadata_property_def"))
+    return wide.filled_by(materialize(whole, "wide"), columns)
 
 
 def p2_wide(spark: SparkSession, sf_dir: str) -> DataFrame:

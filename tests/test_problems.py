@@ -6,7 +6,9 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from sparkkb.operators import orphans, wide
+from sparkkb.operators import orphans, problems, wide
+
+from .conftest import DATA
 
 
 def day(n):
@@ -107,3 +109,11 @@ def test_report_counts_by_month(spark):
     broken = spark.createDataFrame([("t", "f", 1, "missing", day(0)), ("t", "f", 2, "missing", day(1)), ("t", "f", 3, "late", None)], "table_name string, field_name string, kid long, cause string, created_at timestamp")
     assert sorted((r["month"] or "", r["n"]) for r in orphans.report(broken).collect()) == [("", 1), ("2024-01", 2)]
     assert broken.where(F.col("cause") == "late").count() == 1
+
+
+def test_p2_found_reads_the_whole_wide_table(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(problems, "materialize", lambda df, what: stored.append(df) or df)
+    found = problems.p2_found(spark, DATA)
+    _, columns = wide.wide(*(spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("knowledge_file_metadata_value", "knowledge_metadata_property_def")))
+    assert set(stored[0].columns) == {"fs_entry_id", *(n for _, n, _ in columns), *(f"{n}__kid" for _, n, _ in columns)} and found.count() > 0
