@@ -26,8 +26,8 @@ from sparkkb.session import materialize
 
 #: Bound of the training sample, in texts.
 TRAIN_ROWS = 12_000
-#: Cuts of each text of the sample: so many, or more (up to MOST_CUTS) where there are fewer texts.
-CUTS, MOST_CUTS = 4, 16
+#: Cuts of each text of the sample.
+CUTS = 4
 WIDTH = 1 << 18
 #: A length is a limit of a source if so many of its texts have it.
 LIMIT_TEXTS, LIMIT_SHARE, LIMIT_LEAST, MOST_LIMITS = 5, 0.015, 40, 10_000
@@ -188,12 +188,17 @@ def _padded(slots: list[list[int]]) -> np.ndarray:
 
 def fit(documents: DataFrame, limits: dict) -> np.ndarray | None:
     """Weights of the features; None without texts to learn from."""
+    sample = examples(documents, limits)
+    return None if sample is None else learn(sample.toPandas().sort_values(["doc_id", "cut"], kind="stable"))
+
+
+def examples(documents: DataFrame, limits: dict) -> DataFrame | None:
+    """(doc_id, cut, slots): the texts of the sample, and CUTS cut forms of each at every size of the table."""
     usable = documents.where("text is not null and trim(text) != ''")
     total = usable.count()
     if not total:
         return None
     share = min(1.0, TRAIN_ROWS / total)
-    cuts = max(CUTS, min(MOST_CUTS, CUTS * TRAIN_ROWS // total))
     picked = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)).select("doc_id", "text", "source")
     in_chars = sorted({n for chars, size in limits.values() for n in chars | size})
 
@@ -205,10 +210,14 @@ def fit(documents: DataFrame, limits: dict) -> np.ndarray | None:
                 distance = _limit_distance(len(text), len(text.encode()), limits[source]) if source in limits else "off"
                 if distance in ("off", "near"):  # at a limit it is likely cut already, so it is no example of either kind
                     rows.append((i, 0, _slots(features(text, distance))))
-                    rows += [(i, 1, _slots(features(*c))) for c in (_cut(text, rng, in_chars) for _ in range(cuts)) if c]
+                    rows += [(i, 1, _slots(features(*c))) for c in (_cut(text, rng, in_chars) for _ in range(CUTS)) if c]
             yield pd.DataFrame(rows, columns=["doc_id", "cut", "slots"])
 
-    sample = picked.mapInPandas(run, "doc_id long, cut int, slots array<int>").toPandas().sort_values(["doc_id", "cut"], kind="stable")
+    return picked.mapInPandas(run, "doc_id long, cut int, slots array<int>")
+
+
+def learn(sample: pd.DataFrame) -> np.ndarray:
+    """Weights from examples."""
     x, y = _padded([list(s) for s in sample["slots"]]), sample["cut"].to_numpy(float)
     weight = np.where(y == 1, 0.5 * len(y) / max(1, y.sum()), 0.5 * len(y) / max(1, (1 - y).sum()))
     # Some texts that count as intact are cut; each half of the sample is cleared by what the other half teaches.

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sparkkb.llm import codepoints, encode, neardup, packing, pairs, queries, splitting, truncation
 
@@ -222,6 +223,12 @@ def test_limits_and_kinds(spark):
     assert truncation.truncated(df.limit(0).selectExpr("1L as doc_id", "*")).count() == 0
 
 
+def test_small_tables_are_cut_as_often_as_large_ones(spark):
+    texts = spark.createDataFrame([(i, f"The pump of line {i} was checked last week. It runs well again since then.", "s") for i in range(20)], "doc_id long, text string, source string")
+    found = truncation.examples(texts, {}).groupBy("doc_id").agg(F.sum("cut").alias("n")).collect()
+    assert len(found) == 20 and max(r["n"] for r in found) <= 4
+
+
 # --- pairs
 
 
