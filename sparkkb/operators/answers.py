@@ -42,6 +42,13 @@ def reduced(log: DataFrame, key: str, order: list[str], mode: str, data: str) ->
     return kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"__{i}") for i, c in enumerate(order)], F.col(data).alias("__data")))), lambda x: x["__data"]).alias("items"))
 
 
+def reduced_sizes(log: DataFrame, key: str, order: list[str], mode: str, data: str) -> DataFrame:
+    """(key, n, last_item): how many items reduced() gives, and the greatest, without a list: both are combined before the shuffle."""
+    last = log.where(F.col(mode) == "RESET").groupBy(F.col(key).alias("__key")).agg(F.max(F.struct(*order)).alias("__last"))
+    kept = log.join(last, F.col(key).eqNullSafe(F.col("__key")), "left").where(F.col("__last").isNull() | (F.struct(*order) >= F.col("__last")))
+    return kept.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("n"), F.max(data).alias("last_item"))
+
+
 def cited(hops: DataFrame, evidence: DataFrame) -> DataFrame:
     """(run, hop, place, index_id, text): evidence that a hop cites by index; an unknown index keeps its place without text."""
     each = hops.select("run", "hop", F.posexplode("source_indices").alias("place", "index_id"))
@@ -129,7 +136,7 @@ def decomposition_stats(spark, sf_dir):
 def state_reducer(spark, sf_dir):
     """Events of a user since the last purchase, which resets."""
     e = table(spark, sf_dir, "events").withColumn("mode", F.when(F.col("event_type") == "purchase", "RESET").otherwise("ADD"))
-    return reduced(e, "user_id", ["ts", "event_id"], "mode", "event_id").select("user_id", F.size("items").alias("n"), F.array_max("items").alias("last_item"))
+    return reduced_sizes(e, "user_id", ["ts", "event_id"], "mode", "event_id")
 
 
 def evidence_citations(spark, sf_dir):

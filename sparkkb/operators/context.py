@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkkb.session import table
+from sparkkb.session import materialize, table
 
 #: Characters that end a sentence.
 ENDERS = ".!?。！？\n;；"
@@ -33,6 +33,20 @@ def ranked(rows: DataFrame, group: list[str], score: str, tie: str) -> DataFrame
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(score), F.asc(tie))))
 
 
+def ranked_by_slots(rows: DataFrame, group: list[str], score: str, tie: str) -> DataFrame:
+    """As ranked(), for groups of any size: rows are stored in ranges of the order, a rank is the rows of the group in the ranges before and the place in its own."""
+    slots = rows.repartitionByRange(F.desc(score), F.asc(tie)).withColumn("__slot", F.spark_partition_id())
+    slots = materialize(slots, "slots")  # ranges are sampled, so that they may differ from run to run
+    upto = Window.partitionBy(*group).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = slots.groupBy(*group, "__slot").agg(F.count(F.lit(1)).alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    before = before.select(*[F.col(c).alias(f"__of_{c}") for c in group], F.col("__slot").alias("__at"), "__before")
+    placed = slots.withColumn("__within", F.row_number().over(Window.partitionBy(*group, "__slot").orderBy(F.desc(score), F.asc(tie))))
+    same = F.col("__slot") == F.col("__at")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return placed.join(before, same).withColumn("rank", (F.col("__within") + F.col("__before")).cast("int")).select(*rows.columns, "rank")
+
+
 def tokens_of(text: str) -> int:
     return int(len(text) * TOKENS_PER_CHARACTER)
 
@@ -173,7 +187,7 @@ def result_index_ids(spark, sf_dir):
 
 def group_rank(spark, sf_dir):
     rows = table(spark, sf_dir, "inference_result").where("latency_ms is not null").select("line_no", F.coalesce("judge_model", F.lit("none")).alias("judge"), "latency_ms")
-    return ranked(rows, ["judge"], "latency_ms", "line_no").select("line_no", "judge", "rank")
+    return ranked_by_slots(rows, ["judge"], "latency_ms", "line_no").select("line_no", "judge", "rank")
 
 
 def round_robin_context(spark, sf_dir):

@@ -268,3 +268,20 @@ def test_periodic_runs_again(spark, tmp_path):
         assert seen == [1, 2] and query.isActive
     finally:
         query.stop()
+
+
+def test_ranks_over_slots(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([None, "a", "a", "a", "b"]), rng.choice([None, 1.0, 2.0, rng.random()]), i) for i in range(3000)] + [("a", 1.0, 5)]
+    df = spark.createDataFrame(rows, "g string, s double, i long")
+    found = context.ranked_by_slots(df, ["g"], "s", "i")
+    assert sorted(map(str, found.collect())) == sorted(map(str, context.ranked(df, ["g"], "s", "i").collect()))
+
+
+def test_sizes_of_reduced_logs_need_no_list(spark):
+    rng = random.Random(10)
+    log = spark.createDataFrame([(rng.choice([None, 1, 1, 1, 2, 3]), rng.choice([None, *range(9)]), i, rng.choice(["ADD"] * 20 + ["RESET"])) for i in range(600)], "u long, t long, i long, m string")
+    got = answers.reduced_sizes(log, "u", ["t", "i"], "m", "i")
+    want = answers.reduced(log, "u", ["t", "i"], "m", "i").select("u", F.size("items").alias("n"), F.array_max("items").alias("last_item"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "collect_list" not in got._jdf.queryExecution().toString()
