@@ -24,15 +24,25 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.report(_broken(spark, sf_dir))
 
 
+def _wide(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[int, str, str]]]:
+    return wide.wide(table(spark, sf_dir, "knowledge_file_metadata_value"), table(spark, sf_dir, "knowledge_metadata_property_def"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fs_entry_id, property_def_id, kid): the row that fills each cell of the wide table, which is stored whole first."""
-    whole, columns = wide.wide(table(spark, sf_dir, "knowledge_file_metadata_value"), table(spark, sf_dir, "knowledge_metadata_property_def"))
+    whole, columns = _wide(spark, sf_dir)
     return wide.filled_by(materialize(whole, "wide"), columns)
 
 
+def p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of the wide table with their typed values, one below the other."""
+    whole, columns = _wide(spark, sf_dir)
+    return wide.cells_of(materialize(whole, "wide"), columns).drop("kid")
+
+
 def p2_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per file, one typed column per live property definition."""
-    whole, columns = wide.wide(table(spark, sf_dir, "knowledge_file_metadata_value"), table(spark, sf_dir, "knowledge_metadata_property_def"))
+    whole, columns = _wide(spark, sf_dir)
     return whole.select("fs_entry_id", *[f"`{name}`" for _, name, _ in columns])
 
 
@@ -84,17 +94,33 @@ WITH v AS (
          AND TRY_CAST(replace(text[1:10], '/', '-') AS date) IS NOT NULL)
     WHEN 'stringList' THEN value_string_list IS NOT NULL OR (json_valid(text) AND text[1:1] = '[' AND coalesce(list_bool_and(list_transform(TRY_CAST(text AS json[]), lambda x: json_type(x) = 'VARCHAR')), true)) END
 )
-SELECT fs_entry_id, property_def_id, kid FROM usable QUALIFY row_number() OVER (PARTITION BY fs_entry_id, property_def_id ORDER BY updated_at DESC, kid DESC) = 1
+, best AS (SELECT * FROM usable QUALIFY row_number() OVER (PARTITION BY fs_entry_id, property_def_id ORDER BY updated_at DESC, kid DESC) = 1)
+"""
+
+#: A time without zone is UTC, a zone of hours only gets its minutes.
+_VALUES_SQL = r"""
+SELECT fs_entry_id, property_def_id,
+  CASE WHEN as_type = 'string' THEN coalesce(CASE WHEN text <> '' THEN value_string END, value_number::varchar, value_boolean::varchar,
+    strftime(value_datetime AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%fZ'), to_json(value_string_list)::varchar) END AS as_string,
+  CASE WHEN as_type = 'number' THEN coalesce(value_number::double, TRY_CAST(replace(text, ',', '') AS double)) END AS as_number,
+  CASE WHEN as_type = 'boolean' THEN coalesce(value_boolean, lower(text) IN ('true', 'yes', 'y', 'on', '1')) END AS as_boolean,
+  CASE WHEN as_type = 'datetime' THEN coalesce(value_datetime AT TIME ZONE 'UTC',
+    TRY_CAST(replace(text[1:10], '/', '-') || ' ' || coalesce(nullif(regexp_extract(text, '^.{10}[T ](\d{2}:\d{2}(:\d{2})?)', 1), ''), '00:00') AS timestamp)
+    - coalesce(TRY_CAST(regexp_extract(text, '([+-]\d{2})(:?\d{2})?$', 1) AS int) * (length(text) > 16)::int, 0) * INTERVAL 1 HOUR
+    - coalesce(TRY_CAST(regexp_extract(text, '([+-])\d{2}:?(\d{2})$', 1) || regexp_extract(text, '([+-])\d{2}:?(\d{2})$', 2) AS int) * (length(text) > 16)::int, 0) * INTERVAL 1 MINUTE) END AS as_datetime,
+  CASE WHEN as_type = 'stringList' THEN coalesce(value_string_list, TRY_CAST(text AS json)::varchar[]) END AS "as_stringList"
+FROM best
 """
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_wide)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_values, p2_wide)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _BROKEN_SQL + "SELECT table_name, field_name, kid, cause FROM broken WHERE cause IS NOT NULL",
         "p1_report": _BROKEN_SQL + "SELECT table_name, field_name, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m') AS month, cause, count(*) AS n FROM broken WHERE cause IS NOT NULL GROUP BY ALL",
-        "p2_found": _FOUND_SQL,
+        "p2_found": _FOUND_SQL + "SELECT fs_entry_id, property_def_id, kid FROM best",
+        "p2_values": _FOUND_SQL + _VALUES_SQL,
     }

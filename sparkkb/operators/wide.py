@@ -1,32 +1,42 @@
 """Attribute-value rows into wide tables.
 
-1. ``cells``   every row gets its value in the type of its definition; of the usable rows of an
-   entity and an attribute the latest stays (aggregated map-side first).
-2. The cells are stored partitioned by attribute: one typed narrow table per attribute, so that
-   each is later read alone.
-3. ``wide``    narrow tables are joined by entity in a balanced tree: FAN_IN of them at a time
-   are outer-joined onto the entities that any of them has and stored, then the results likewise.
-   Each level shuffles each cell once, and a stage sorts FAN_IN + 1 inputs at most.
+1. ``narrow``  the usable rows of one type: of the rows of an entity and an attribute the latest stays
+   (aggregated map-side first). The attribute's definition gives the type; a row gives the value in it.
+2. Each type is stored as one narrow table, partitioned by attribute and bucketed by entity, all with the
+   same buckets: an attribute is read alone, and attributes are co-partitioned.
+3. ``wide``    narrow tables are outer-joined onto the entities that any of them has, FAN_IN at a time, and the
+   results likewise, in a balanced tree. Every table of the tree is bucketed by entity, so a join reads buckets
+   and shuffles no cell (above the first level only the entities' ids, to bring them together). Each level is
+   stored: a plan of all joins at once would sort all attributes in each task.
+
+No join is left to a broadcast, whatever the size.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkkb.session import materialize
+from sparkkb.session import materialize_bucketed
 
 FAN_IN = 8
 #: More attributes than this do not make a table.
 MOST_ATTRIBUTES = 10_000
+#: Tables of one level that are written at the same time.
+AT_ONCE = 4
 BLANKS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 NUMBER = r"^[+-]?(?:(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$"
 DATETIME = r"^(\d{4})[-/](\d{2})[-/](\d{2})(?:[T ](\d{2}:\d{2})(:\d{2})?(?:(Z)|([+-]\d{2}):?(\d{2})?)?)?$"
-TYPES = {"string": "string", "number": "decimal(38,6)", "boolean": "boolean", "datetime": "timestamp", "stringList": "array<string>"}
+#: A number is a double, so that 1e50 and 1e-9 have a value as well; one too large for a double has none and fills no cell.
+TYPES = {"string": "string", "number": "double", "boolean": "boolean", "datetime": "timestamp", "stringList": "array<string>"}
 
 
 def _number(text: Column) -> Column:
-    return F.when(text.rlike(NUMBER), F.regexp_replace(text, ",", "").try_cast(TYPES["number"]))
+    number = F.when(text.rlike(NUMBER), F.regexp_replace(text, ",", "").cast("double"))
+    return F.when(F.abs(number) < float("inf"), number)
 
 
 def _boolean(text: Column) -> Column:
@@ -53,72 +63,129 @@ def _no_nulls(items: Column) -> Column:
     return F.when(F.forall(items, lambda x: x.isNotNull()), items)
 
 
-def cells(values: DataFrame, definitions: DataFrame) -> DataFrame:
-    """(property_def_id, fs_entry_id, kid, as_string, as_number, as_boolean, as_datetime, as_stringList): the row that fills each cell.
-
-    Only rows with is_deleted false, of definitions that exist and are not deleted; the definition gives the type, whatever the row says.
-    Of several usable rows the greatest updated_at wins, then the greatest kid; a null updated_at comes last. Rows without entity have no cell.
-    """
-    live = definitions.where("is_deleted = false and kid is not null").select(F.col("kid").alias("property_def_id"), F.col("value_type").alias("as_type"))
-    needed = values.where("is_deleted = false and fs_entry_id is not null").select(
-        "property_def_id", "fs_entry_id", "kid", "updated_at", "value_string", "value_number", "value_boolean", "value_datetime", "value_string_list")
-    rows = needed.join(F.broadcast(live.distinct()), "property_def_id")  # attributes() checks their number
+def _value(kind: str) -> Column:
+    """The value of a row in a type; null if it has no usable one."""
     text = F.regexp_replace("value_string", f"^{BLANKS}|{BLANKS}$", "")
-    of = F.col("as_type")
-    typed = {
-        "string": F.coalesce(
+    if kind == "string":
+        return F.coalesce(
             F.when(text != "", F.col("value_string")), F.col("value_number").cast("string"), F.col("value_boolean").cast("string"),
-            F.date_format("value_datetime", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.to_json("value_string_list")),
-        "number": F.coalesce(F.col("value_number").cast(TYPES["number"]), _number(text)),
-        "boolean": F.coalesce("value_boolean", _boolean(text)),
-        "datetime": F.coalesce("value_datetime", _datetime(text)),
-        "stringList": F.coalesce("value_string_list", _no_nulls(_string_list(text))),
-    }
-    value = F.struct(*[F.when(of == t, c).cast(TYPES[t]).alias(f"as_{t}") for t, c in typed.items()])
-    usable = F.coalesce(*[F.when(F.col(f"value.as_{t}").isNotNull(), True) for t in typed], F.lit(False))
-    rows = rows.select("property_def_id", "fs_entry_id", "kid", "updated_at", value.alias("value")).where(usable)
+            F.date_format("value_datetime", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.to_json("value_string_list"))
+    if kind == "number":
+        return F.coalesce(F.col("value_number").cast("double"), _number(text))
+    if kind == "boolean":
+        return F.coalesce("value_boolean", _boolean(text))
+    if kind == "datetime":
+        return F.coalesce("value_datetime", _datetime(text))
+    return F.coalesce("value_string_list", _no_nulls(_string_list(text)))
+
+
+def narrow(values: DataFrame, kind: str, ids: list[int]) -> DataFrame:
+    """(property_def_id, fs_entry_id, kid, value): the row that fills each cell of the attributes ids, which are of one type.
+
+    Only rows with is_deleted false and a usable value, whatever type the row says. Of several the greatest updated_at wins, then
+    the greatest kid; a null updated_at comes last. Rows without entity have no cell.
+    """
+    rows = values.where(F.col("property_def_id").isin(ids) & (F.col("is_deleted") == F.lit(False)) & F.col("fs_entry_id").isNotNull())
+    rows = rows.select("property_def_id", "fs_entry_id", "kid", "updated_at", _value(kind).cast(TYPES[kind]).alias("value")).where("value is not null")
     latest = rows.groupBy("property_def_id", "fs_entry_id").agg(F.max_by(F.struct("kid", "value"), F.struct("updated_at", "kid")).alias("best"))
-    return latest.select("property_def_id", "fs_entry_id", "best.kid", "best.value.*")
+    return latest.select("property_def_id", "fs_entry_id", "best.kid", "best.value")
+
+
+def _by_type(columns: list[tuple[int, str, str]]) -> dict[str, list[tuple[int, str]]]:
+    found: dict[str, list[tuple[int, str]]] = {}
+    for k, name, kind in columns:
+        found.setdefault(kind, []).append((k, name))
+    return found
+
+
+def cells(values: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(property_def_id, fs_entry_id, kid, as_string, as_number, as_boolean, as_datetime, as_stringList): the narrow tables of all live definitions, one below the other."""
+    of = _by_type(attributes(definitions))
+    parts = [
+        narrow(values, t, [k for k, _ in of.get(t, [])]).select(
+            "property_def_id", "fs_entry_id", "kid", *[(F.col("value") if x == t else F.lit(None)).cast(TYPES[x]).alias(f"as_{x}") for x in TYPES])
+        for t in TYPES
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
 
 
 def attributes(definitions: DataFrame) -> list[tuple[int, str, str]]:
-    """(id, column name, type) of each live definition, by id. A name that several have gets its id behind it."""
-    rows = definitions.where("is_deleted = false and kid is not null").select("kid", "property_name", "value_type").distinct().limit(MOST_ATTRIBUTES + 1).collect()
+    """(id, column name, type) of each live definition, by id. A name that several have gets its id behind it; a definition written twice counts once, by its least type and name."""
+    live = definitions.where("is_deleted = false and kid is not null").where(F.col("value_type").isin(*TYPES))
+    rows = live.groupBy("kid").agg(F.min(F.struct("value_type", "property_name")).alias("d")).select("kid", "d.*").limit(MOST_ATTRIBUTES + 1).collect()
     if len(rows) > MOST_ATTRIBUTES:
         raise ValueError(f"more than {MOST_ATTRIBUTES} attributes")
     names = [r["property_name"] for r in rows]
-    rows = [r for r in rows if r["value_type"] in TYPES]
     return sorted((r["kid"], r["property_name"] if r["property_name"] and names.count(r["property_name"]) == 1 else f"{r['property_name'] or 'property'}_{r['kid']}", r["value_type"]) for r in rows)
 
 
+def _joined(parts: list[DataFrame]) -> DataFrame:
+    """Bucketed tables with fs_entry_id outer-joined onto the entities that any of them has."""
+    # An expression in place of the column: a union of bucketed scans claims their buckets, but reads them without.
+    ids = [part.select(F.coalesce("fs_entry_id", F.lit(0)).alias("fs_entry_id")) for part in parts]
+    whole = ids[0]
+    for more in ids[1:]:
+        whole = whole.unionAll(more)
+    whole = whole.distinct()
+    for part in parts:
+        whole = whole.join(part.hint("merge"), "fs_entry_id", "left")
+    return whole
+
+
 def wide(values: DataFrame, definitions: DataFrame) -> tuple[DataFrame, list[tuple[int, str, str]]]:
     """One row per fs_entry_id that has a cell: a typed column per live definition, and ``<name>__kid``, the row that fills it. Empty tables give an empty result."""
     columns = attributes(definitions)
-    narrow = cells(values, definitions).hint("rebalance", F.col("property_def_id"))
-    narrow = materialize(narrow, "narrow", "property_def_id")
-
-    def entities(ids: list[int]) -> DataFrame:
-        return narrow.where(F.col("property_def_id").isin(ids)).select("fs_entry_id").distinct()
-
-    level = [
-        ([k], narrow.where(F.col("property_def_id") == k).select("fs_entry_id", F.col(f"as_{t}").alias(name), F.col("kid").alias(f"{name}__kid")))
-        for k, name, t in columns
-    ]
+    if not columns:
+        return values.select("fs_entry_id").limit(0), columns
+    of = _by_type(columns)
+
+    def each(f, items: list) -> list:
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            return list(pool.map(inheritable_thread_target(values.sparkSession)(f), items))
+
+    def store(kind: str) -> DataFrame:
+        found = narrow(values, kind, [k for k, _ in of[kind]])
+        # One file for each bucket and attribute; cells are unique by now, so no entity is hot.
+        return materialize_bucketed(found.repartition("fs_entry_id"), f"narrow_{kind.lower()}", "fs_entry_id", "property_def_id")
+
+    level: list[DataFrame] = []
+    stored = dict(zip(of, each(store, list(of)), strict=True))
+    groups = [(t, some[i : i + FAN_IN]) for t, some in of.items() for i in range(0, len(some), FAN_IN)]
+
+    def first(group: tuple[str, list[tuple[int, str]]]) -> DataFrame:
+        kind, some = group
+        table = stored[kind].where(F.col("property_def_id").isin([k for k, _ in some]))
+        whole = table.select("fs_entry_id").distinct()
+        for k, name in some:
+            part = stored[kind].where(F.col("property_def_id") == k).select("fs_entry_id", F.col("value").alias(name), F.col("kid").alias(f"{name}__kid"))
+            whole = whole.join(part.hint("merge"), "fs_entry_id", "left")
+        return whole
+
+    def keep(df: DataFrame) -> DataFrame:
+        return materialize_bucketed(df, "joined", "fs_entry_id")
+
+    level = [first(g) for g in groups]
     while len(level) > 1:
-        joined = []
-        for i in range(0, len(level), FAN_IN):
-            some = level[i : i + FAN_IN]
-            ids = [k for of, _ in some for k in of]
-            whole = entities(ids)
-            for _, part in some:
-                whole = whole.join(part, "fs_entry_id", "left")
-            # Each level is stored: a plan of all joins at once would grow with the square of the attributes.
-            joined.append((ids, whole if len(level) <= FAN_IN else materialize(whole, "joined")))
-        level = joined
-    return (level[0][1] if level else narrow.select("fs_entry_id").distinct()), columns
+        level = each(keep, level)
+        level = [_joined(level[i : i + FAN_IN]) for i in range(0, len(level), FAN_IN)]
+    order = [c for _, name, _ in columns for c in (name, f"{name}__kid")]
+    return level[0].select("fs_entry_id", *[F.col(f"`{c}`") for c in order]), columns
 
 
 def filled_by(table: DataFrame, columns: list[tuple[int, str, str]]) -> DataFrame:
     """(fs_entry_id, property_def_id, kid): the non-null cells of a wide table."""
-    each = F.array(*[F.struct(F.lit(k).cast("long").alias("property_def_id"), F.col(f"`{name}__kid`").alias("kid")) for k, name, _ in columns])
+    return cells_of(table, columns, False)
+
+
+def cells_of(table: DataFrame, columns: list[tuple[int, str, str]], with_values: bool = True) -> DataFrame:
+    """(fs_entry_id, property_def_id, kid) and as_string, as_number, as_boolean, as_datetime, as_stringList: the non-null cells of a wide table."""
+    def cell(k: int, name: str, kind: str) -> Column:
+        typed = [(F.col(f"`{name}`") if x == kind else F.lit(None).cast(TYPES[x])).alias(f"as_{x}") for x in TYPES if with_values]
+        return F.struct(F.lit(k).cast("long").alias("property_def_id"), F.col(f"`{name}__kid`").alias("kid"), *typed)
+
+    none = [F.struct(F.lit(None).cast("long").alias("property_def_id"), F.lit(None).cast("long").alias("kid"), *[F.lit(None).cast(TYPES[x]).alias(f"as_{x}") for x in TYPES if with_values])]
+    each = F.array(*([cell(*c) for c in columns] or none))
     return table.select("fs_entry_id", F.explode(F.filter(each, lambda x: x["kid"].isNotNull())).alias("cell")).select("fs_entry_id", "cell.*")

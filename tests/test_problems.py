@@ -97,6 +97,23 @@ def test_latest_usable_row_wins_and_columns_are_typed(spark):
     assert sorted(map(tuple, wide.filled_by(table, columns).collect())) == [(5, 1, 3), (5, 2, 6), (6, 2, 8)]
 
 
+def test_large_and_small_numbers_keep_their_value(spark):
+    definitions = spark.createDataFrame([(1, "n", "number", False, day(0))], DEFINITION)
+    texts = {5: "1e50", 6: "1e-9", 7: "1" + "0" * 32, 8: "-1,234.5"}
+    rows = [cell("x", kid=f, fs_entry_id=f, value_string=t) for f, t in texts.items()] + [cell("x", kid=99, fs_entry_id=5, value_string="7", updated_at=None)]
+    table, columns = wide.wide(spark.createDataFrame(rows, VALUE), definitions)
+    assert {r["fs_entry_id"]: r["n"] for r in table.collect()} == {f: float(t.replace(",", "")) for f, t in texts.items()}
+    assert {r["fs_entry_id"]: r["kid"] for r in wide.filled_by(table, columns).collect()} == {f: f for f in texts}
+
+
+def test_joins_of_wide_tables_shuffle_no_cell(spark):
+    definitions = spark.createDataFrame([(k, f"c{k}", "number" if k % 2 else "string", False, day(0)) for k in range(1, 7)], DEFINITION)
+    rows = [cell("x", kid=100 * f + k, fs_entry_id=f, property_def_id=k, value_number=k) for f in range(1, 8) for k in range(1, 7)]
+    table, _ = wide.wide(spark.createDataFrame(rows, VALUE), definitions)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") and plan.count("Exchange ") <= 1 and "Broadcast" not in plan
+
+
 def test_many_attributes_take_two_levels(spark):
     definitions = spark.createDataFrame([(k, f"c{k}", "number", False, day(0)) for k in range(1, 30)], DEFINITION)
     rows = [cell("number", kid=100 * f + k, fs_entry_id=f, property_def_id=k, value_number=k) for f in range(1, 8) for k in range(1, 30) if (f + k) % 3]
