@@ -197,6 +197,28 @@ def test_containers(spark, monkeypatch):
     assert packing.containers(df.limit(0)).count() == 0
 
 
+def test_batches_stay_in_their_bucket_and_fill_it():
+    rng = np.random.default_rng(6)
+    lengths, counts = np.unique(np.minimum(rng.lognormal(5.6, 0.9, 5000).astype(int) + 1, 2048), return_counts=True)
+    bounds = packing.merged_bounds(lengths, counts, packing.bucket_bounds(lengths, counts), slack=0.02)
+    assert len(bounds) > 2 and bounds[-1] == lengths[-1]
+    held: dict[int, dict[int, int]] = {}
+    ranks = {}
+    for length, first, base, use in packing.plan(lengths, counts, bounds):
+        ranks.setdefault(length, []).append((first, base, use))
+    for length, n in zip(lengths.tolist(), counts.tolist(), strict=True):
+        for rank in range(n):
+            first, base, use = max(x for x in ranks[length] if x[0] <= rank)
+            of = held.setdefault(base + (rank - first) // use, {})
+            of[length] = of.get(length, 0) + 1
+    assert sorted(held) == list(range(len(held)))
+    assert max(sum(k * n for k, n in of.items()) for of in held.values()) <= 2048
+    mixed = [c for c, of in held.items() if len(set(np.searchsorted(bounds, list(of)))) > 1]
+    assert len(mixed) <= len(bounds) and all(c >= len(held) - len(bounds) for c in mixed)  # of the final batch
+    assert (lengths * counts).sum() / 2048 / len(held) > 0.97
+    assert packing.merged_bounds(lengths[:0], counts[:0], lengths[:0]).size == 0
+
+
 # --- truncation
 
 
