@@ -25,6 +25,8 @@ from sparkkb.session import materialize_bucketed
 FAN_IN = 8
 #: More attributes than this do not make a table.
 MOST_ATTRIBUTES = 10_000
+#: Rows of a bucket, as long as there are no more buckets than shuffle partitions: each attribute is a file a bucket.
+BUCKET_ROWS = 100_000
 #: Tables of one level that are written at the same time.
 AT_ONCE = 4
 BLANKS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -122,14 +124,14 @@ def attributes(definitions: DataFrame) -> list[tuple[int, str, str]]:
     return sorted((r["kid"], r["property_name"] if r["property_name"] and names.count(r["property_name"]) == 1 else f"{r['property_name'] or 'property'}_{r['kid']}", r["value_type"]) for r in rows)
 
 
-def _joined(parts: list[DataFrame]) -> DataFrame:
+def _joined(parts: list[DataFrame], buckets: int) -> DataFrame:
     """Bucketed tables with fs_entry_id outer-joined onto the entities that any of them has."""
     # An expression in place of the column: a union of bucketed scans claims their buckets, but reads them without.
     ids = [part.select(F.coalesce("fs_entry_id", F.lit(0)).alias("fs_entry_id")) for part in parts]
     whole = ids[0]
     for more in ids[1:]:
         whole = whole.unionAll(more)
-    whole = whole.distinct()
+    whole = whole.repartition(buckets, "fs_entry_id").distinct()
     for part in parts:
         whole = whole.join(part.hint("merge"), "fs_entry_id", "left")
     return whole
@@ -141,6 +143,7 @@ def wide(values: DataFrame, definitions: DataFrame) -> tuple[DataFrame, list[tup
     if not columns:
         return values.select("fs_entry_id").limit(0), columns
     of = _by_type(columns)
+    buckets = max(1, min(values.count() // BUCKET_ROWS, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def each(f, items: list) -> list:
         with ThreadPoolExecutor(AT_ONCE) as pool:
@@ -149,7 +152,7 @@ def wide(values: DataFrame, definitions: DataFrame) -> tuple[DataFrame, list[tup
     def store(kind: str) -> DataFrame:
         found = narrow(values, kind, [k for k, _ in of[kind]])
         # One file for each bucket and attribute; cells are unique by now, so no entity is hot.
-        return materialize_bucketed(found.repartition("fs_entry_id"), f"narrow_{kind.lower()}", "fs_entry_id", "property_def_id")
+        return materialize_bucketed(found.repartition(buckets, "fs_entry_id"), f"narrow_{kind.lower()}", "fs_entry_id", "property_def_id", buckets=buckets)
 
     level: list[DataFrame] = []
     stored = dict(zip(of, each(store, list(of)), strict=True))
@@ -165,12 +168,12 @@ def wide(values: DataFrame, definitions: DataFrame) -> tuple[DataFrame, list[tup
         return whole
 
     def keep(df: DataFrame) -> DataFrame:
-        return materialize_bucketed(df, "joined", "fs_entry_id")
+        return materialize_bucketed(df, "joined", "fs_entry_id", buckets=buckets)
 
     level = [first(g) for g in groups]
     while len(level) > 1:
         level = each(keep, level)
-        level = [_joined(level[i : i + FAN_IN]) for i in range(0, len(level), FAN_IN)]
+        level = [_joined(level[i : i + FAN_IN], buckets) for i in range(0, len(level), FAN_IN)]
     order = [c for _, name, _ in columns for c in (name, f"{name}__kid")]
     return level[0].select("fs_entry_id", *[F.col(f"`{c}`") for c in order]), columns
 
