@@ -283,6 +283,45 @@ def test_field_beats_forward_probabilities():
     assert np.isclose(two[1, 0, 5], sum(np.exp(s) for t, s in score.items() if t[1:3] == (0, 5)) / z)
 
 
+def test_clauses_of_a_batch():
+    """Sentences, parts after a colon, a semicolon or a conjunction, list items; a table and a code block are one clause each."""
+    answers = ["One. Two (three.) Four: five; six, but seven", "| a | b |\n| c | d |\nx = 1", "```\na. b\nc\n```\nend", "1. first\n2. second", None, "...", "甲。乙，丙"]
+    found = pairs.Pairs(pa.array([""] * len(answers)), pa.array(answers))
+    said = [[found.clause_text(i).strip() for i in np.flatnonzero(found.text == k)] for k in range(len(answers))]
+    assert said == [["One.", "Two (three.)", "Four:", "five;", "six,", "but seven"], ["| a | b |\n| c | d |", "x = 1"], ["```\na. b\nc\n```", "end"], ["1. first", "2. second"], [], [], ["甲。", "乙，", "丙"]]
+    assert found.kind.tolist()[6:10] == [pairs.TABLE, pairs.TEXT, pairs.CODE, pairs.TEXT]
+
+
+def test_a_batch_is_judged_as_its_rows_are():
+    rng = np.random.default_rng(2)
+    q = ["Which desk owns the pump?", "Wie oft wird die Liste erneuert?", ""] * 4
+    a = ["The desk owns it. It was moved, but the list stays.", "Die Liste wird jede Woche erneuert.", "x" * 3000 + " no", "", "Which desk owns the pump?", "- one\n- two\n\n| a |"] * 2
+    w, step = rng.normal(size=(pairs.WIDTH, pairs.TAGS)), rng.normal(size=(pairs.TAGS, pairs.TAGS))
+    whole = pairs.Pairs(pa.array(q), pa.array(a))
+    tags = pairs.decode(whole.emissions(w), step, whole.size)
+    for i in range(len(q)):
+        one = pairs.Pairs(pa.array(q[i : i + 1]), pa.array(a[i : i + 1]))
+        mine = whole.text == i
+        assert sorted(one.slots.tolist()) == sorted(whole.slots[np.repeat(mine, np.diff(whole.edges))].tolist())
+        assert (pairs.decode(one.emissions(w), step) if one.m else []) == tags[mine].tolist()
+
+
+def test_all_words_of_a_long_clause_count():
+    long = "the pump was moved to the hall " * 40
+    one, two = (pairs.Pairs(pa.array(["?"]), pa.array([long + x])) for x in ("and stays", "cannot answer"))
+    assert sorted(one.slots.tolist()) != sorted(two.slots.tolist())
+
+
+def test_wordings_without_a_seed_are_learned(spark):
+    """Refusals that no cue shows, among others in the same words as their neighbours, and defects made of rows that are not in the sample."""
+    source = spark.read.parquet("/root/testdata/sf0.01/inference_result.parquet").select("line_no", "question", "answer")
+    rows = [(10**9 + i, r["question"], f"{r['question']}\n\nReply:") for i, r in enumerate(source.where("question is not null").limit(60).collect())]
+    rows += [(2 * 10**9 + i, "How often is the pump of Rasmocal rebuilt?", x) for i, x in enumerate(["I could not find any information about the pump.", "The documents I have contain no answer to that.", "I don't know. Please contact the pump desk.", "Sorry. I am unable to say."])]
+    got = {r["line_no"]: r["defect"] for r in pairs.judged(source.unionAll(spark.createDataFrame(rows, source.schema))).where("line_no >= 1000000000").collect()}
+    assert sum(got.get(i) == "question_copy" for i, *_ in rows[:60]) >= 57
+    assert [got.get(i) for i, *_ in rows[60:]] == ["refusal"] * 4
+
+
 def test_defects(spark):
     source = spark.read.parquet("/root/testdata/sf0.01/inference_result.parquet").select("line_no", "question", "answer")
     q = "How often is the label printer of Rasmocal rebuilt?"
