@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkkb.llm import codepoints
@@ -185,18 +185,38 @@ def _only(column: pa.ChunkedArray) -> np.ndarray:
     return pc.list_flatten(column).to_numpy()
 
 
-def decode(ids: DataFrame, tokenizer: str = "byte_bpe_50k", tokenizers: str = TOKENIZERS) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids): each id is looked up in the table of pieces, which has a row for each id of the vocabulary."""
-    path = f"{tokenizers}/{tokenizer}.tiktoken"
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(id, piece): the table of pieces of a tokenizer, read from its vocabulary file."""
+    line = F.split("value", " ")
+    return spark.read.text(f"file://{path}").where("value != ''").select(line[1].cast("int").alias("id"), F.unbase64(line[0]).alias("piece"))
 
-    def run(batches):
-        of = ranks(path)
-        pieces = pa.array(sorted(of, key=of.get), pa.binary())
-        for batch in batches:
-            lists = batch.column(1)
-            found = pieces.take(pc.list_flatten(lists))
-            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), found), pa.scalar(b"", pa.binary()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), joined.cast(pa.string())], ["doc_id", "text"])
 
-    return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+def _id_blocks(batches):
+    """(block, ids, counts, codes, distinct): rows of a batch, and the place of each token id in the ids that the batch has."""
+    for serial, batch in enumerate(batches):
+        lists = batch.column(1)
+        distinct, codes = np.unique(pc.list_flatten(lists).to_numpy(zero_copy_only=False), return_inverse=True)
+        block = (TaskContext.get().partitionId() << 24) + serial
+        counts = pc.fill_null(pc.list_value_length(lists), 0)
+        parts = (batch.column(0), counts.cast(pa.int32()), pa.array(codes.astype(np.int32)), pa.array(distinct.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array([block]), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in parts)], ["block", "ids", "counts", "codes", "distinct"])
+
+
+def decode(ids: DataFrame, tokenizer: str = "byte_bpe_50k", tokenizers: str = TOKENIZERS) -> DataFrame:
+    """(doc_id, text) from (doc_id, ids), by a join of ids with the table of pieces.
+
+    As in encoding, only the distinct ids of a block of rows are joined; their pieces go back to the block and to their positions.
+    Null lists give an empty text. Repeated rows and ids stay.
+    """
+    stored = materialize_bucketed(ids.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(_id_blocks, "block long, ids array<long>, counts array<int>, codes array<int>, distinct array<int>"), "ids", "block")
+    wanted = stored.select(F.col("block").alias("of_block"), F.posexplode("distinct").alias("code", "id"))
+    sent = wanted.join(pieces(ids.sparkSession, f"{tokenizers}/{tokenizer}.tiktoken"), "id").select("of_block", "code", "piece")
+
+    def run(rows: pa.Table, of_block: pa.Table) -> pa.Table:
+        column = of_block["piece"].combine_chunks()
+        found = column.take(pc.sort_indices(of_block["code"])) if len(of_block) else column
+        ends = np.concatenate([[0], np.cumsum(_only(rows["counts"]))])
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), found.take(pa.array(_only(rows["codes"]))))
+        return pa.table({"doc_id": pc.list_flatten(rows["ids"]), "text": pc.binary_join(lists, pa.scalar(b"", pa.binary())).cast(pa.string())})
+
+    return stored.select("block", "ids", "counts", "codes").groupBy("block").cogroup(sent.groupBy("of_block")).applyInArrow(run, "doc_id long, text string")
