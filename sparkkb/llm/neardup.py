@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkkb.llm import codepoints
-from sparkkb.session import materialize_bucketed
+from sparkkb.session import materialize, materialize_bucketed
 
 #: Shingles in more texts than this are indexed in combinations only.
 FREQUENT_OVER = 500
@@ -36,6 +36,8 @@ FREQUENT_OVER = 500
 SHARED = 3
 #: Frequencies are counted up to here.
 MOST = 4000
+#: Copies of a text that meet all the others in one task.
+SLOT_COPIES = 1000
 BLOCK_BYTES = 8_000_000
 SLICE_BYTES = 250_000
 TOKEN_BITS = 48
@@ -218,15 +220,24 @@ def _two_of_each(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ask(width: int):
-    """Shingle sets of the smaller texts of candidate pairs, on their way to the blocks of the larger ones."""
+    """Shingle sets of the smaller texts of candidate pairs, each once for every block of larger ones that it goes to."""
 
     def run(table: pa.Table, asked: pa.Table) -> pa.Table:
-        sets = _sets_of(table, asked["a_item"].to_numpy(), width)
-        out = {c: asked[c] for c in ("b_block", "b_item")}
-        keys = dict(zip(table["item"].to_pylist(), table["text_key"].to_pylist(), strict=True)) if len(asked) else {}
-        out["a_key"] = pa.array([keys[i] for i in asked["a_item"].to_pylist()], pa.int64())
-        out["a_set"] = pa.array([_packed(sets[i]) for i in asked["a_item"].to_pylist()], pa.binary())
-        return pa.table(out)
+        a_item, b_block, b_item = (asked[c].to_numpy() for c in ("a_item", "b_block", "b_item"))
+        order = np.lexsort((b_item, b_block, a_item))
+        a_item, b_block, b_item = a_item[order], b_block[order], b_item[order]
+        new = np.flatnonzero(np.concatenate([[True], (a_item[1:] != a_item[:-1]) | (b_block[1:] != b_block[:-1])])) if len(order) else order
+        sets = _sets_of(table, a_item, width)
+        keys = dict(zip(table["item"].to_pylist(), table["text_key"].to_pylist(), strict=True)) if len(order) else {}
+        items = a_item[new].tolist()
+        return pa.table(
+            {
+                "b_block": pa.array(b_block[new], pa.int64()),
+                "b_items": _as_lists(b_item, np.diff(np.append(new, len(order))), pa.int32()),
+                "a_key": pa.array([keys[i] for i in items], pa.int64()),
+                "a_set": pa.array([_packed(sets[i]) for i in items], pa.binary()),
+            }
+        )
 
     return run
 
@@ -252,24 +263,53 @@ def _sets_of(table: pa.Table, items: np.ndarray, width: int) -> dict[int, np.nda
 
 def _verify(width: int, threshold: float):
     def run(table: pa.Table, offered: pa.Table) -> pa.Table:
-        items = offered["b_item"].to_numpy()
+        items, counts = _lists(offered["b_items"])
         sets = _sets_of(table, items, width)
         keys = dict(zip(table["item"].to_pylist(), table["text_key"].to_pylist(), strict=True)) if len(offered) else {}
         a_keys, b_keys, both, either = [], [], [], []
-        for a_key, item, raw in zip(offered["a_key"].to_pylist(), items.tolist(), offered["a_set"], strict=True):
-            a, b = _unpacked(raw.as_buffer()), sets[item]
-            shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-            union = len(a) + len(b) - shared
-            if shared >= threshold * union - 1e-9:
-                a_keys.append(a_key)
-                b_keys.append(keys[item])
-                both.append(shared)
-                either.append(union)
+        ends = np.cumsum(counts)
+        for a_key, raw, first, last in zip(offered["a_key"].to_pylist(), offered["a_set"], (ends - counts).tolist(), ends.tolist(), strict=True):
+            a = _unpacked(raw.as_buffer())
+            for item in items[first:last].tolist():
+                b = sets[item]
+                shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                union = len(a) + len(b) - shared
+                if shared >= threshold * union - 1e-9:
+                    a_keys.append(a_key)
+                    b_keys.append(keys[item])
+                    both.append(shared)
+                    either.append(union)
         return pa.table({"a_key": pa.array(a_keys, pa.int64()), "b_key": pa.array(b_keys, pa.int64()), "shared": pa.array(both, pa.int32()), "total": pa.array(either, pa.int32())})
 
     return run
 
 
+def _edges(pairs: DataFrame) -> DataFrame:
+    """(u, v) in both directions."""
+    return pairs.select("u", "v").unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, root): the least node that each node of pairs (u, v) is connected with, by large and small stars in turn.
+
+    Neighbours are never brought together: a star needs the least of them only, which is aggregated map-side, and a join of the
+    edges with one row a node. Each round is stored; there are about as many as the logarithm of the longest path.
+    """
+    star = materialize(pairs.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+    before = None
+    while True:
+        both = _edges(star)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # v > m, as m <= u
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        star = materialize(small.where("u != v").distinct(), "stars")
+        now = star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            return star.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(star.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before = now
+
+
 class Join:
     """The parts of a similarity join over one table of texts; see the module's text.
 
@@ -315,15 +355,18 @@ class Join:
     def text_pairs(self) -> DataFrame:
         """(a_key, b_key, shared, total): each pair of different texts at or above the threshold, once."""
         held = self.held.select("block", "item", "text_key", "words").groupBy("block")
-        offered = held.cogroup(self.candidates().groupBy("a_block")).applyInArrow(_ask(self.width), "b_block long, b_item int, a_key long, a_set binary")
+        offered = held.cogroup(self.candidates().groupBy("a_block")).applyInArrow(_ask(self.width), "b_block long, b_items array<int>, a_key long, a_set binary")
         return held.cogroup(offered.groupBy("b_block")).applyInArrow(_verify(self.width, self.threshold), "a_key long, b_key long, shared int, total int")
 
     def pairs(self) -> DataFrame:
         """(kid_a, kid_b), kid_a < kid_b: all pairs of rows at or above the threshold, rows with equal words included."""
         members = self.members
-        copies = members.groupBy("text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("text_key")
+        copies = members.groupBy("text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("text_key", F.ceil(F.col("n") / SLOT_COPIES).alias("slots"))
         copies = members.join(copies, "text_key")
-        same = copies.alias("a").join(copies.alias("b"), (F.col("a.text_key") == F.col("b.text_key")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
+        # Rows of a text with very many copies are spread over slots; each meets all of them.
+        a = copies.select("text_key", F.pmod(F.xxhash64("id"), "slots").alias("slot"), F.col("id").alias("x"))
+        b = copies.select("text_key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"), F.col("id").alias("y"))
+        same = a.join(b, ["text_key", "slot"]).where("x < y").select("x", "y")
         alike = (
             self.text_pairs()
             .join(members.select(F.col("text_key").alias("a_key"), F.col("id").alias("x")), "a_key")
@@ -332,3 +375,16 @@ class Join:
             .select("x", "y")
         )
         return same.unionAll(alike).select(F.least("x", "y").alias("kid_a"), F.greatest("x", "y").alias("kid_b"))
+
+    def groups(self) -> DataFrame:
+        """(id, group_id, links): every row with another one alike; group_id is the least id that it is connected with, links the number of different texts at or above the threshold, its own copies as one."""
+        texts = self.members.groupBy("text_key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+        of = texts.select("text_key", "first")
+        pairs = self.text_pairs().select("a_key", "b_key")
+        pairs = pairs.join(of.select(F.col("text_key").alias("a_key"), F.col("first").alias("u")), "a_key").join(of.select(F.col("text_key").alias("b_key"), F.col("first").alias("v")), "b_key")
+        pairs = materialize(pairs.select("u", "v"), "links")
+        links = _edges(pairs).groupBy("u").agg(F.count(F.lit(1)).alias("n_links")).select(F.col("u").alias("first"), "n_links")
+        found = texts.join(links, "first", "left").where("n > 1 or n_links is not null")
+        found = found.join(components(pairs).select(F.col("node").alias("first"), "root"), "first", "left")
+        found = found.select("text_key", F.coalesce("root", "first").alias("group_id"), (F.coalesce("n_links", F.lit(0)) + (F.col("n") > 1).cast("int")).alias("links"))
+        return self.members.join(found, "text_key").select("id", "group_id", "links")

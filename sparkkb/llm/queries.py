@@ -23,6 +23,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.Join(table(spark, sf_dir, "knowledge_chunk"), "kid", "chunk_text", width=3, threshold=0.6, least_words=20).pairs()
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kid, group_id, links): the group of each chunk that has another one alike, by the least kid in it, and the number of different texts it is alike to."""
+    join = neardup.Join(table(spark, sf_dir, "knowledge_chunk"), "kid", "chunk_text", width=3, threshold=0.6, least_words=20)
+    return join.groups().withColumnRenamed("id", "kid")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line_no, defect): answers that are no proper reply to their question."""
     return pairs.judged(table(spark, sf_dir, "inference_result"))
@@ -55,7 +61,7 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p5_found, p6_ids, p6_decoded, p7_containers, p8_found, p8_sources)}
+    return {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_groups, p5_found, p6_ids, p6_decoded, p7_containers, p8_found, p8_sources)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -122,6 +122,37 @@ def test_all_pairs_are_found(spark, monkeypatch, width, threshold, least):
 
 def test_no_texts_no_pairs(spark):
     assert neardup.Join(frame(spark, []), "id", "text").pairs().count() == 0
+    assert neardup.Join(frame(spark, []), "id", "text").groups().count() == 0
+
+
+def test_groups_are_what_pairs_connect(spark):
+    rng = random.Random(9)
+    stems = [rng.choices([f"w{i}" for i in range(200)], k=40) for _ in range(6)]
+    texts = [revised(rng, rng.choice(stems), rng.randrange(4)) for _ in range(80)] + [" ".join(stems[0])] * 3 + [None, "one two"]
+    pairs = brute_pairs(texts, 3, 0.6, 20)
+    join = neardup.Join(frame(spark, texts).repartition(3), "id", "text", 3, 0.6, 20)
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    linked = {x for p in pairs for x in p}
+    got = {r["id"]: (r["group_id"], r["links"]) for r in join.groups().collect()}
+    assert {i: g for i, (g, _) in got.items()} == {i: root[i] for i in linked}
+    others = lambda i: {" ".join(texts[b if a == i else a].lower().split()) for a, b in pairs if i in (a, b)}
+    assert {i: n for i, (_, n) in got.items()} == {i: len(others(i)) for i in linked}
+
+
+def test_components_of_long_paths_and_stars(spark):
+    chain = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 160)] + [(300, 300)]
+    got = dict(neardup.components(spark.createDataFrame(chain, "u long, v long")).collect())
+    assert got == {**{i: 1 for i in range(1, 61)}, **{i: 100 for i in range(100, 160)}}
+
+
+def test_copies_over_slots(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SLOT_COPIES", 4)
+    df = frame(spark, ["same words here all five"] * 30)
+    got = [tuple(r) for r in neardup.Join(df, "id", "text").pairs().collect()]
+    assert len(got) == len(set(got)) == 30 * 29 // 2
 
 
 @given(st.lists(st.text(max_size=30), max_size=8))
