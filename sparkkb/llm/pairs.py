@@ -53,6 +53,7 @@ _REQUEST = r"(?i)answer|reply|respond|write|antwort|schreib|répon|repond|respon
 PLACEHOLDERS = tuple("null none nil nan na n/a undefined empty void tbd todo keine aucun ninguno ninguna 无 暂无 空 placeholder missing".split())
 _LABELS = re.compile(r"(?i)\b(?:answer|final answer|response|reply|antwort|réponse|reponse|respuesta|output|result|text|content|答案|回答)\b\s*[:：=]?|(?:答案|回答)\s*[:：]")
 _MARKUP = re.compile(r"</?[A-Za-z][\w-]*(?:\s[^<>]*)?/?>|&nbsp;|```\w*")
+_PLACEHOLDER = re.compile(r"(?is)\W*(?:(?:\"\w+\"|\w+)\s*:\s*)?\"?(?:" + "|".join(map(re.escape, PLACEHOLDERS)) + r")\"?\W*")
 #: Seeds of refusals: a clause that denies, and speaks of answering, knowing or the sources. By language, general words only.
 _DENIES = re.compile(
     r"(?i)\b(?:not|no|none|nothing|cannot|unable|insufficient|neither|decline|silent|outside|against|pass|unfortunately)\b|n['’]t\b"
@@ -76,10 +77,7 @@ def is_empty(answer: str | None) -> bool:
     text = _LABELS.sub(" ", _MARKUP.sub(" ", answer))
     if answer.strip().strip("\"'`*_.-<>[]{}() ").lower() in PLACEHOLDERS:
         return True
-    left = "".join(c for c in text if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) in ("Sc", "So"))
-    if not left:
-        return True
-    return bool(re.fullmatch(r"(?is)\W*(?:(?:\"\w+\"|\w+)\s*:\s*)?\"?(?:" + "|".join(re.escape(p) for p in PLACEHOLDERS) + r")\"?\W*", text))
+    return not any(unicodedata.category(c) in ("Sc", "So") or unicodedata.category(c)[0] in "LN" for c in text) or bool(_PLACEHOLDER.fullmatch(text))
 
 
 def _among(points: np.ndarray, chars: str) -> np.ndarray:
@@ -168,12 +166,16 @@ def _wanted(questions: pa.Array, own: np.ndarray) -> np.ndarray:
     return out
 
 
-def language(text: str) -> tuple[str, float]:
-    """The language of a text by its function words or script, and how many more of them it has than of the next one; ('', 0) without any."""
-    points, starts = codepoints.flat(pa.array([text]))
+def languages(texts: list[str]) -> list[tuple[str, float]]:
+    """The language of each text by its function words or script, and how many more of them it has than of the next one; ('', 0) without any."""
+    points, starts = codepoints.flat(pa.array(texts, pa.string()))
     words = Words(points)
-    tongue, lead = _tongue(_spoken(words, np.zeros(len(words.begin), np.int64), np.zeros(len(points), np.int64), 1))
-    return (LANGUAGES[tongue[0]], float(lead[0])) if tongue[0] >= 0 else ("", 0)
+    of = np.repeat(np.arange(len(texts)), np.diff(starts))
+    return [(LANGUAGES[t], float(x)) if t >= 0 else ("", 0) for t, x in zip(*_tongue(_spoken(words, of[words.begin], of, len(texts))), strict=True)]
+
+
+def language(text: str) -> tuple[str, float]:
+    return languages([text])[0]
 
 
 def allowed_languages(question: str) -> set[str]:
@@ -397,7 +399,7 @@ def _examples(rows: list[tuple[int, str, str]]) -> tuple[list[tuple[int, str, st
     """(line, question, answer) as they are and made defective, and the tags of each; None: no example."""
     plain = Pairs(pa.array([q for _, q, _ in rows], pa.string()), pa.array([a for *_, a in rows], pa.string())).seeds()
     by: dict[str, list[str]] = {}
-    tongues = [language(q)[0] for _, q, _ in rows]
+    tongues = [t for t, _ in languages([q for _, q, _ in rows])]
     for (_, q, _), t in zip(rows, tongues, strict=True):
         by.setdefault(t, []).append(q)
     made: list[tuple[int, str, str]] = []
@@ -565,17 +567,19 @@ def fit(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     picked = usable.where(F.pmod(F.xxhash64("line_no", F.lit(13)), F.lit(1_000_000)) < int(min(1.0, TRAIN_ROWS / total) * 1_000_000)).select("line_no", "question", "answer")
     tasks = max(1, min(total, TRAIN_ROWS) // TASK_ROWS)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["line_no", "question", "answer"], kind="stable")
+    def run(frames):
+        held = list(frames)
+        if not held:
+            return
+        frame = pd.concat(held).sort_values(["line_no", "question", "answer"], kind="stable")  # about TASK_ROWS
         made, tags = _examples(list(zip(frame["line_no"].fillna(0).astype(int), frame["question"], frame["answer"], strict=True)))
         out = []
         for (line, edges, slots, first, size), t in zip(made, tags, strict=True):
             if t is not None:
                 out.append((line, len(out), slots[edges[first] : edges[first + size]], np.diff(edges[first : first + size + 1]), t))
-        return pd.DataFrame(out, columns=["line_no", "k", "slots", "counts", "tags"])
+        yield pd.DataFrame(out, columns=["line_no", "k", "slots", "counts", "tags"])
 
-    grouped = picked.groupBy(F.pmod(F.xxhash64("line_no", F.lit(14)), F.lit(tasks)).alias("task"))
-    sample = grouped.applyInPandas(run, "line_no long, k int, slots array<int>, counts array<int>, tags array<int>").toPandas().sort_values(["line_no", "k"], kind="stable")
+    sample = picked.repartition(tasks, "line_no").mapInPandas(run, "line_no long, k int, slots array<int>, counts array<int>, tags array<int>").toPandas().sort_values(["line_no", "k"], kind="stable")
     if not len(sample):
         return None
     return train(*([np.asarray(x, np.int64) for x in sample[c]] for c in ("slots", "counts", "tags")))
