@@ -3,6 +3,7 @@
 from datetime import datetime, timezone
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,29 @@ def test_hot_key_is_one_bit_and_all_rows_come_out(spark):
     assert len(found(spark, chunks)) == 3000
 
 
+@pytest.mark.parametrize("positions, kind", [([5], orphans.POSITIONS), (list(range(100, 900)), orphans.RUNS), (list(range(0, 32_768, 3)), orphans.PAGE), (list(range(32_768)), orphans.RUNS), ([0, 32_767], orphans.POSITIONS), (list(range(0, 30_000, 2)) + [32_767], orphans.PAGE)])
+def test_containers_hold_their_bits(positions, kind):
+    held = orphans._container(np.array(positions))
+    assert held[0] == kind and len(held) <= 4097 and np.flatnonzero(orphans._page(held)).tolist() == positions
+
+
+def test_keys_of_any_sign_are_decoded(spark):
+    keys = [-70_000, -32_769, -32_768, -32_767, -1, 0, 1, 32_768, 32_769, 65_536, 65_537]
+    refs = spark.createDataFrame([("t", "f", "entry", i, k, day(1)) for i, k in enumerate(keys)], "table_name string, field_name string, parent string, kid long, key long, created_at timestamp")
+    none = spark.createDataFrame([], "parent string, key long, is_deleted boolean, created_at timestamp")
+    assert sorted(r["key"] for r in orphans.suspects(refs, none).collect()) == keys
+    own = refs.select("parent", "key", F.lit(False).alias("is_deleted"), F.lit(day(0)).alias("created_at"))
+    assert orphans.suspects(refs, own.withColumn("created_at", F.lit(None).cast("timestamp"))).count() == 0
+
+
+def test_paths_without_a_record_go_through_the_bitmaps(spark):
+    links = [(k, 1 + k % 2, 2, None, "nowhere.md" if k < 6 else "../../out.md", day(10), None, "p", None) for k in range(9)]
+    refs = orphans.references(*(spark.createDataFrame([], x) for x in (CHUNK, VALUE)), spark.createDataFrame(links, REF), entries(spark))
+    rows = refs.collect()
+    assert len(rows) == 9 and all(r["key"] > 40_000 for r in rows) and len({r["key"] for r in rows}) == 4
+    assert [x[2] for x in found(spark, links=links)] == ["missing"] * 9
+
+
 def test_empty_tables(spark):
     assert found(spark) == []
     values, definitions = spark.createDataFrame([], VALUE), spark.createDataFrame([], DEFINITION)
