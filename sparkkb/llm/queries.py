@@ -9,7 +9,7 @@ from sparkkb.session import table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(kid, forced): chunks above the limit, and whether a cut without a boundary is unavoidable."""
+    """(kid, forced): chunks above the limit, and whether one of their pieces had to be cut without a boundary."""
     return splitting.forced(table(spark, sf_dir, "knowledge_chunk"), "kid", "chunk_text")
 
 

@@ -84,6 +84,27 @@ def test_null_and_repeated_ids_above_one_range(spark):
     assert order(splitting.forced(df, "id", "text", size=1000).collect()) == order(splitting.forced(df, "id", "text").collect()) == order((i, brute_forced(t)) for i, t in rows if t and len(t) > 819)
 
 
+def test_files_by_ranges_of_bytes(spark, tmp_path):
+    """A file gives the pieces of its text, wherever a range cuts a character."""
+    rng = random.Random(8)
+    texts = {"a.txt": "".join(rng.choice(["wörter ", "中文。", "\n", "line é\n\n", "😀 ", "x" * 30]) for _ in range(3000)), "b.txt": "short", "c.txt": "", "d.txt": "中" * 4000}
+    for name, t in texts.items():
+        (tmp_path / name).write_text(t, encoding="utf-8", newline="")
+    want = spark.createDataFrame([(k, t) for k, t in enumerate(texts.values())], "id long, text string")
+    want = sorted((r["id"], r["chunk_no"], r["start_line"], r["end_line"], r["chunk_text"]) for r in splitting.pieces(want, "id", "text").collect())
+    for size in (4000, 4001, 1 << 16):
+        found = splitting.pieces_of_ranges(splitting.file_ranges(spark, str(tmp_path), size=size)).where("id not like '%b.txt'").collect()
+        got = sorted((list(texts).index(r["id"].rsplit("/", 1)[1]), r["chunk_no"], r["start_line"], r["end_line"], r["chunk_text"]) for r in found)
+        assert got == want
+
+
+def test_ranges_of_a_long_text(spark):
+    text = "some words here. " * 200_000
+    ranges = splitting.text_ranges(spark.createDataFrame([("1", text, 1)], "id string, text string, first_line long"))
+    rows = ranges.orderBy("range_no").collect()
+    assert "".join(r["part"] for r in rows) == text and all(len(r["part"]) <= 1 << 16 and len(r["tail"]) <= 2 * 819 for r in rows) and len({r["key"] for r in rows}) == 1
+
+
 # --- near duplicates
 
 
