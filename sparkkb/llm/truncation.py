@@ -16,6 +16,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,8 @@ TRAIN_ROWS = 12_000
 #: Cuts of each text of the sample.
 CUTS = 4
 WIDTH = 1 << 18
-#: A length is a limit of a source if so many of its texts have it.
-LIMIT_TEXTS, LIMIT_SHARE, LIMIT_LEAST, MOST_LIMITS = 5, 0.015, 40, 10_000
+#: A length is a limit of a source if so many of its texts have it, so a source has some hundred at most; more limits in all than MOST_LIMITS are refused.
+LIMIT_TEXTS, LIMIT_SHARE, LIMIT_LEAST, MOST_LIMITS = 5, 0.015, 40, 100_000
 #: A text counts as cut from this probability on.
 CUT_FROM = 0.9
 #: Signs that cutting systems leave at the end.
@@ -45,10 +46,10 @@ _SIGNATURE = re.compile(r"^\s*(?:--|—|–)\s*\S")
 
 def _shape(token: str, upper: bool) -> str:
     if any(c.isdigit() for c in token):
-        return re.sub(r"\d+", "9", re.sub(r"[A-Z]+", "A", token))[:12]
+        return re.sub(r"\d+", "9", re.sub(r"[A-Z]+", "A", token))
     if token[:1].isupper() and not upper:
         return "Cap"
-    return token.lower()[:24]
+    return token.lower()
 
 
 def last_line(text: str) -> tuple[str, str]:
@@ -97,19 +98,20 @@ def features(text: str, limit: str) -> list[str]:
     shut = end if not end.isalnum() else "digit" if end.isdigit() else "han" if "一" <= end <= "鿿" else "letter"
     parts = _SENTENCE.split(line)
     sentence = next((p for p in reversed(parts) if p.strip()), line)
-    tokens = [_shape(t, upper) for t in _TOKEN.findall(sentence[-2000:])]
-    head = [_shape(t, upper) for t in _TOKEN.findall(_LIST.sub("", sentence)[:200])[:2]]
+    words = _TOKEN.findall(sentence)
+    tokens = [_shape(t, upper) for t in words[-3:]]
+    head = [_shape(m.group(), upper) for m in islice(_TOKEN.finditer(_LIST.sub("", sentence)), 2)]
     one, two, three = ("_".join(tokens[-k:]) for k in (1, 2, 3))
-    long = min(len(tokens), 30)
+    long = min(len(words), 30)
     opened = sum(line.count(a) > line.count(b) for a, b in ("()", "[]", "{}", "（）", "「」", "“”")) + line.count('"') % 2
     out = ["bias", f"k{kind}", f"e{kind}{shut}", f"l{limit}", f"l{limit}{kind}{shut in '.!?。！？'}", f"g{sign}", f"g{bool(sign)}{shut in '.!?。！？|`'}", f"o{kind}{min(opened, 2)}", f"u{upper}"]
     out += [f"1{kind}{one}", f"2{kind}{two}", f"3{kind}{three}", f"h{kind}{'_'.join(head)}|{one}", f"n{kind}{'_'.join(head)}|{long // 2}", f"m{kind}{long // 3}", f"H{kind}{'_'.join(head)}|{two}"]
-    last = _TOKEN.findall(line[-200:])
-    tail = last[-1].lower() if last else ""
+    tail = words[-1].lower() if words else ""
     out += [f"s{kind}{len(tail) > k}{tail[-k:]}" for k in (2, 3, 4)] + [f"t{kind}{min(len(tail), 12)}"]
     if kind == "table":
-        rows = rest[-6000:].splitlines()
-        above = rows[-2].count("|") if len(rows) > 1 and rows[-2].lstrip().startswith("|") else -1
+        before = rest[: len(rest) - len(line)].removesuffix("\n").removesuffix("\r")
+        row = before[max(before.rfind("\n"), before.rfind("\r")) + 1 :]
+        above = row.count("|") if row.lstrip().startswith("|") else -1
         out += [f"r{(line.count('|') > above) - (line.count('|') < above)}{end == '|'}"]
     if kind == "path":
         out += [f"p{bool(re.search(r'\.[A-Za-z0-9]{1,5}$', line))}"]
@@ -158,7 +160,10 @@ def field_limits(documents: DataFrame) -> dict[str, tuple[set, set]]:
     total = rows.groupBy("source").agg(F.count(F.lit(1)).alias("total"))
     spikes = counts.where(f"texts >= {LIMIT_TEXTS} and n >= {LIMIT_LEAST}").join(total, "source").where(f"texts >= {LIMIT_SHARE} * total")
     out: dict[str, tuple[set, set]] = {}
-    for r in spikes.orderBy(F.desc("texts"), "source", "unit", "n").limit(MOST_LIMITS).collect():
+    found = spikes.limit(MOST_LIMITS + 1).collect()
+    if len(found) > MOST_LIMITS:
+        raise ValueError(f"more than {MOST_LIMITS} field limits")
+    for r in found:
         out.setdefault(r["source"], (set(), set()))[r["unit"]].add(r["n"])
     return out
 
@@ -257,8 +262,8 @@ def truncated(documents: DataFrame) -> DataFrame:
     bins = judged.groupBy(F.greatest(F.lit(-400), F.least(F.lit(400), F.round(F.col("score") * 10))).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
     s, n = np.array([r["bin"] / 10 for r in bins]), np.array([r["n"] for r in bins], float)
     share = 0.1
-    for _ in range(50 if len(s) else 0):  # expectation maximisation over the score histogram of all rows
-        share = float(np.clip((n / (1 + np.exp(-(s + np.log(share / (1 - share)))))).sum() / n.sum(), 0.01, 0.5))
+    for _ in range(200 if len(s) else 0):  # expectation maximisation over the score histogram of all rows
+        share = float(np.clip((n / (1 + np.exp(-(s + np.log(share / (1 - share)))))).sum() / n.sum(), 1e-9, 1 - 1e-9))
     return judged.withColumn("cut", F.col("score") + float(np.log(share / (1 - share)) - np.log(CUT_FROM / (1 - CUT_FROM))) > 0)
 
 
