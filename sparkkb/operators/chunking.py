@@ -280,21 +280,23 @@ def file_mime_types(spark, sf_dir):
     return table(spark, sf_dir, "knowledge_fs_entry").where("entry_type = 'FILE'").groupBy(mime_type("name").alias("mime")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The type of a name in SQL.
+MIME_SQL = """CASE lower(regexp_extract(name, '\\.([^.]*)$', 1)) WHEN 'md' THEN 'text/markdown' WHEN 'markdown' THEN 'text/markdown' WHEN 'txt' THEN 'text/plain' WHEN 'csv' THEN 'text/csv' WHEN 'html' THEN 'text/html' WHEN 'htm' THEN 'text/html' WHEN 'pdf' THEN 'application/pdf'
+            WHEN 'json' THEN 'application/json' WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' WHEN 'zip' THEN 'application/zip' WHEN 'docx' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document'
+            WHEN 'xlsx' THEN 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' WHEN 'pptx' THEN 'application/vnd.openxmlformats-officedocument.presentationml.presentation' ELSE 'application/octet-stream' END"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (chunk_structured, front_matter, html_to_text, converted_files, chunk_lines, noise_lines, line_windows, text_facts, file_mime_types)}
 
 
 def oracle_sql() -> dict[str, str]:
     lines = "SELECT doc_id, unnest(range(1, len(l) + 1))::int AS line_no, unnest(l) AS line FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS l FROM documents WHERE text IS NOT NULL)"
-    ext = "lower(regexp_extract(name, '\\.([^.]*)$', 1))"
     return {
         "chunk_lines": lines,
         "noise_lines": f"SELECT doc_id, trim(line, ' ') AS line, count(*) AS n FROM ({lines}) WHERE trim(line, ' ') <> '' GROUP BY ALL HAVING count(*) > 1",
         "line_windows": "SELECT doc_id, array_to_string(l[2:4], chr(10)) AS part, len(l) <= 4 AS reached_eof FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS l FROM documents WHERE text IS NOT NULL)",
         "text_facts": f"SELECT doc_id, (length(text) - length(replace(text, chr(10), '')) + 1)::int AS n_lines, floor(length(text) * 1.3)::bigint AS tokens, coalesce(len(regexp_extract_all(lower(text), '{TOKEN_SQL}')), 0)::int AS words, sha256(text) AS checksum FROM documents",
-        "file_mime_types": f"""SELECT CASE {ext} WHEN 'md' THEN 'text/markdown' WHEN 'markdown' THEN 'text/markdown' WHEN 'txt' THEN 'text/plain' WHEN 'csv' THEN 'text/csv' WHEN 'html' THEN 'text/html' WHEN 'htm' THEN 'text/html' WHEN 'pdf' THEN 'application/pdf'
-            WHEN 'json' THEN 'application/json' WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' WHEN 'zip' THEN 'application/zip' WHEN 'docx' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document'
-            WHEN 'xlsx' THEN 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' WHEN 'pptx' THEN 'application/vnd.openxmlformats-officedocument.presentationml.presentation' ELSE 'application/octet-stream' END AS mime, count(*) AS n
-            FROM knowledge_fs_entry WHERE entry_type = 'FILE' GROUP BY ALL""",
+        "file_mime_types": f"SELECT {MIME_SQL} AS mime, count(*) AS n FROM knowledge_fs_entry WHERE entry_type = 'FILE' GROUP BY ALL",
     }
 
