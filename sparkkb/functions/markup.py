@@ -8,31 +8,70 @@ import io
 import json
 import re
 import unicodedata
+from datetime import date, datetime
 from html.parser import HTMLParser
 
-#: Shapes of heading lines, tried in order: (name, pattern, explicit level or 0, only in markdown).
-HEADINGS = (
-    *((f"markdown_h{k}", re.compile(rf"^#{{{k}}}\s+\S"), k, True) for k in (1, 2, 3, 4)),
-    ("chapter", re.compile(r"^第[一二三四五六七八九十百零\d]+[章节部分篇]"), 0, False),
-    ("enumeration", re.compile(r"^[一二三四五六七八九十]+、"), 0, False),
-    ("bracketed", re.compile(r"^[（(][一二三四五六七八九十]+[）)]"), 0, False),
-    ("nested", re.compile(r"^(\d+(?:\.\d+)+)\.?\s+(?![\d.\s]+$)\S"), 0, False),
-    ("numbered", re.compile(r"^(\d+)[.、]\s+\S"), 0, False),
-)
+try:
+    import yaml
+except ImportError:  # a reader of flat mappings does then
+    yaml = None
+
+#: Numerals of Chinese headings, the units they count, and the deepest markdown level.
+NUMERALS, UNITS, DEEPEST = "一二三四五六七八九十百千万零〇", "章节部分篇", 4
+
+
+def _default_headings() -> tuple[tuple, ...]:
+    """(name, pattern, explicit level or 0, only in markdown) of heading lines, tried in order on lines in compatibility form: marks, units, then lists of numerals, then of numbers with a blank before the title."""
+    counted = {"unit": f"第[{NUMERALS}0-9]+[{UNITS}]", "list": f"[{NUMERALS}]+、", "bracket": f"\\([{NUMERALS}]+\\)"}
+    marks = [(f"mark{n}", f"#{{{n}}}\\s+\\S", n, True) for n in range(1, DEEPEST + 1)]
+    numbers = [("nested", r"(\d+(?:\.\d+)+)\s+(?![\d.\s]+$)\S", 0, False), ("numbered", r"(\d+)[.、]\s+\S", 0, False)]
+    return tuple((name, re.compile(shape), level, only) for name, shape, level, only in [*marks, *((n, x, 0, False) for n, x in counted.items()), *numbers])
+
+
+HEADINGS = _default_headings()
 _INLINE = re.compile(r"[。！？；;!?]")
 _FENCE = re.compile(r"^\s*(`{3,}|~{3,})")
 
 
 def front_matter(text: str) -> tuple[dict[str, object], str]:
-    """Key-value pairs between a leading ``---`` and the next one, and the rest. Only flat mappings count: scalars, quoted text and lists in brackets or dashes."""
+    """The mapping between a leading ``---`` and the next one, and the rest; nothing, and the whole text, where it is no mapping.
+
+    It is read as YAML where that is installed, else by a reader of flat mappings: scalars, quoted text, lists in brackets or dashes, and text blocks; what is nested
+    deeper is kept as text. Dates become ISO text, mappings JSON.
+    """
     if not text.startswith("---"):
         return {}, text
     end = text.find("---", 3)
     if end < 0:
         return {}, text
+    found = _yaml(text[3:end]) if yaml is not None else _flat(text[3:end])
+    return ({}, text) if found is None else (found, text[end + 3 :].lstrip("\n"))
+
+
+def _yaml(block: str) -> dict[str, object] | None:
+    try:
+        found = yaml.safe_load(block)
+    except (yaml.YAMLError, ValueError):
+        return None
+    return {str(k): _plain(v) for k, v in found.items()} if isinstance(found, dict) else None if found is not None else {}
+
+
+def _plain(value: object) -> object:
+    if isinstance(value, (date, datetime)):
+        return value.isoformat()
+    if isinstance(value, list):
+        return [x if isinstance(x, str) else "" if x is None else compact(_plain(x)) if isinstance(x, (dict, list, bool)) else str(_plain(x)) for x in value]
+    return compact({str(k): _plain(v) for k, v in value.items()}) if isinstance(value, dict) else value
+
+
+def _flat(block: str) -> dict[str, object] | None:
     found: dict[str, object] = {}
-    key = None
-    for line in text[3:end].splitlines():
+    key, joined = None, ""
+    for line in block.splitlines():
+        if key and line[:1] in " \t" and line.strip() and not line.lstrip().startswith("-"):
+            old = found.get(key)  # the lines of a text block, or of something nested
+            found[key] = line.strip() if old is None else f"{old}{joined}{line.strip()}"
+            continue
         if not line.strip() or line.lstrip().startswith("#"):
             continue
         if key and re.match(r"\s*-\s+", line):
@@ -41,11 +80,14 @@ def front_matter(text: str) -> tuple[dict[str, object], str]:
             continue
         m = re.match(r"^([\w .-]+?)\s*:(?:\s+(.*))?$", line)
         if not m:
-            return {}, text
+            return None
         key = m.group(1)
         value = (m.group(2) or "").strip()
+        joined = "\n" if value.startswith("|") else " "
+        if re.fullmatch(r"[|>][+-]?", value):
+            value = ""
         found[key] = [_scalar(x.strip()) for x in value[1:-1].split(",") if x.strip()] if value.startswith("[") and value.endswith("]") else _scalar(value)
-    return found, text[end + 3 :].lstrip("\n")
+    return found
 
 
 def _scalar(value: str) -> object:
@@ -103,7 +145,7 @@ def headings(lines: list[str], markdown: bool = True, patterns: tuple[tuple, ...
         bare = unicodedata.normalize("NFKC", line).strip()
         kind, number = ("", 0), None
         for name, pattern, level, only, *colon in patterns if not inside else ():
-            m = pattern.match(bare if name != "enumeration" else line.strip())
+            m = pattern.match(bare)
             if not m or (only and not markdown) or (not only and _INLINE.search(bare)):
                 continue
             own = not colon  # the shapes of HEADINGS have rules by name

@@ -15,10 +15,15 @@ MOST_SUB_QUERIES = 5
 
 
 def parsed_steps(reply: Column, fallback: Column) -> Column:
-    """Sub-queries of a decomposition reply, an array of (query_text, query_type, hops): at most five, with defaults; the question itself where nothing can be read."""
+    """Sub-queries of a decomposition reply, an array of (query_text, query_type, hops): at most five, with defaults; the question itself where nothing can be read.
+
+    JSON is looked for in whatever surrounds it, and mended: commas before a closing bracket, single quotes, names without quotes, comments; plain texts in the list are sub-queries.
+    """
     kind = "array<struct<query_text:string,query_type:string,hops:int>>"
-    text = F.regexp_extract(reply, r"(?s)(\[.*\])", 1)
-    found = F.filter(F.from_json(F.when(text != "", text), kind), lambda x: F.coalesce(F.trim(x["query_text"]), F.lit("")) != "")
+    lax = {"allowUnquotedFieldNames": "true", "allowSingleQuotes": "true", "allowComments": "true", "allowBackslashEscapingAnyCharacter": "true"}
+    text = F.regexp_replace(F.regexp_extract(reply, r"(?s)(\[.*\])", 1), r",\s*([\]}])", "$1")
+    texts = F.transform(F.from_json(F.when(text.rlike(r"^\[\s*[\"']"), text), "array<string>", lax), lambda x: F.struct(x.alias("query_text"), F.lit(None).cast("string").alias("query_type"), F.lit(None).cast("int").alias("hops")))
+    found = F.filter(F.coalesce(texts, F.from_json(F.when(text != "", text), kind, lax)), lambda x: F.coalesce(F.trim(x["query_text"]), F.lit("")) != "")
     filled = F.transform(F.slice(found, 1, MOST_SUB_QUERIES), lambda x: F.struct(F.trim(x["query_text"]).alias("query_text"), F.coalesce(x["query_type"], F.lit("single_hop")).alias("query_type"), F.coalesce(x["hops"], F.lit(1)).alias("hops")))
     alone = F.array(F.struct(fallback.alias("query_text"), F.lit("single_hop").alias("query_type"), F.lit(1).alias("hops")))
     return F.when(F.size(filled) > 0, filled).otherwise(alone)
@@ -133,6 +138,22 @@ def decomposition_stats(spark, sf_dir):
     return step_stats(_steps(spark, sf_dir), "steps")
 
 
+def decomposition_mended(spark, sf_dir):
+    """Replies in a fence, with commas too many, as plain texts, or cut off, by the score of the result."""
+    step = F.concat(F.lit('{query_text: '), F.to_json(F.struct(F.col("question").alias("q"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("question").alias("q")))) - 6), F.lit(", 'query_type': 'multi_hop', /* */ hops: 2,}"))
+    texts = F.concat(F.lit('["first", '), F.to_json(F.array("query_id")).substr(F.lit(2), F.length(F.to_json(F.array("query_id"))) - 2), F.lit(", ]"))
+    said = F.when(F.col("score") == 1, F.concat(F.lit('Sure:\n```json\n{"sub_queries": ['), step, F.lit(",\n]}\n```"))).when(F.col("score") == 0, texts).otherwise(F.concat(F.lit("["), step))
+    rows = _results(spark, sf_dir).select("line_no", F.explode(parsed_steps(said, F.col("question"))).alias("s"))
+    return rows.select("line_no", "s.query_text", "s.query_type", "s.hops")
+
+
+def sub_answer_texts(spark, sf_dir):
+    """The results of each query as sub-answers of one text."""
+    r = _results(spark, sf_dir)
+    rows = r.select("query_id", "line_no", F.col("question").alias("query_text"), F.col("judge_model").alias("query_type"), "answer", F.when(F.col("reasoning").isNotNull(), F.array("reasoning", F.lit("done"))).alias("reasoning"), (F.col("score") / 3).alias("confidence"))
+    return sub_answers(rows, "query_id", "line_no")
+
+
 def state_reducer(spark, sf_dir):
     """Events of a user since the last purchase, which resets."""
     e = table(spark, sf_dir, "events").withColumn("mode", F.when(F.col("event_type") == "purchase", "RESET").otherwise("ADD"))
@@ -143,7 +164,7 @@ def evidence_citations(spark, sf_dir):
     """Each result cites the results of its own query by line."""
     r = _results(spark, sf_dir)
     hops = r.select(F.col("query_id").alias("run"), F.col("line_no").alias("hop"), F.array(F.col("line_no"), F.col("line_no") + 1).alias("source_indices"))
-    return cited(hops, r.select(F.col("query_id").alias("run"), F.col("line_no").alias("index_id"), F.substring("question", 1, 20).alias("text")))
+    return cited(hops, r.select(F.col("query_id").alias("run"), F.col("line_no").alias("index_id"), F.col("question").alias("text")))
 
 
 def event_role_filter(spark, sf_dir):
@@ -171,7 +192,7 @@ def hit_fields(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (decomposition, decomposition_stats, state_reducer, evidence_citations, event_role_filter, final_answers, plain_summaries, answer_changes, hit_fields)}
+    return {f.__name__: f for f in (decomposition, decomposition_stats, decomposition_mended, sub_answer_texts, state_reducer, evidence_citations, event_role_filter, final_answers, plain_summaries, answer_changes, hit_fields)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -180,8 +201,13 @@ def oracle_sql() -> dict[str, str]:
     return {
         "decomposition": steps.replace("question AS query_text", "trim(question, ' ') AS query_text"),
         "decomposition_stats": f"SELECT query_type, count(*) AS n, round(avg(hops), 2) AS mean_hops FROM ({steps}) GROUP BY ALL",
+        "decomposition_mended": """SELECT line_no, question AS query_text, 'multi_hop' AS query_type, 2 AS hops FROM inference_result WHERE score = 1 UNION ALL SELECT line_no, trim(question, ' '), 'single_hop', 1 FROM inference_result WHERE score IS NULL OR score NOT IN (0, 1)
+            UNION ALL SELECT line_no, 'first', 'single_hop', 1 FROM inference_result WHERE score = 0 UNION ALL SELECT line_no, query_id, 'single_hop', 1 FROM inference_result WHERE score = 0""",
+        "sub_answer_texts": r"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY line_no) AS i FROM inference_result)
+            SELECT query_id, string_agg('## Sub-query ' || i || ': ' || question || chr(10) || 'Type: ' || coalesce(judge_model, 'single-hop') || chr(10) || 'Confidence: ' || printf('%.2f', coalesce(score / 3, 0)::double) || chr(10) || chr(10) || '### Answer' || chr(10) || coalesce(answer, '') || chr(10)
+              || CASE WHEN reasoning IS NOT NULL THEN chr(10) || '### Reasoning Process' || chr(10) || '- ' || reasoning || chr(10) || '- done' || chr(10) ELSE '' END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) AS text FROM n GROUP BY ALL""",
         "state_reducer": "WITH l AS (SELECT *, max(CASE WHEN event_type = 'purchase' THEN (ts, event_id) END) OVER (PARTITION BY user_id) AS r FROM events) SELECT user_id, count(*)::int AS n, max(event_id) AS last_item FROM l WHERE r IS NULL OR (ts, event_id) >= r GROUP BY ALL",
-        "evidence_citations": "SELECT h.query_id AS run, h.line_no AS hop, p::int AS place, h.line_no + p AS index_id, substr(e.question, 1, 20) AS text FROM inference_result h CROSS JOIN (VALUES (0), (1)) v(p) LEFT JOIN inference_result e ON e.query_id = h.query_id AND e.line_no = h.line_no + p",
+        "evidence_citations": "SELECT h.query_id AS run, h.line_no AS hop, p::int AS place, h.line_no + p AS index_id, e.question AS text FROM inference_result h CROSS JOIN (VALUES (0), (1)) v(p) LEFT JOIN inference_result e ON e.query_id = h.query_id AND e.line_no = h.line_no + p",
         "event_role_filter": "WITH s AS (SELECT event_id AS id, event_type AS role FROM events WHERE event_type IN ('click', 'purchase')), p AS (SELECT s.id, string_agg(q.id::varchar, ',' ORDER BY q.id) AS parents FROM s JOIN s q ON q.id IN (s.id - 1, s.id - 7) GROUP BY s.id) SELECT s.id, s.role, coalesce(p.parents, '') AS parents FROM s LEFT JOIN p USING (id)",
         "final_answers": "SELECT query_id, arg_max(answer, line_no) AS final_answer FROM inference_result WHERE trim(answer, ' ') <> '' GROUP BY ALL",
         "plain_summaries": r"SELECT line_no, answer IS NOT NULL AND length(answer) <= 500 AND NOT regexp_matches(answer, '[#*`_~<>{}\[\]|]|[A-Za-z]|^\s*$') AS plain FROM inference_result",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkkb.session import table
@@ -61,9 +61,11 @@ def batch_summary(rows: DataFrame, failed: Column) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(~failed).alias("succeeded"), F.count_if(failed).alias("failed"))
 
 
-def expired(rows: DataFrame, ts: str, ttl_seconds: int, now: str) -> DataFrame:
-    """Rows whose time to live ended by now, soonest first."""
-    return rows.withColumn("expires_at", F.col(ts) + F.expr(f"make_dt_interval(0, 0, 0, {ttl_seconds})")).where(F.col("expires_at") <= F.lit(now).cast("timestamp"))
+def expired(rows: DataFrame, ts: str, ttl_seconds: int, now: str, size: int | None = None) -> DataFrame:
+    """Rows whose time to live ended by now, soonest first; size of them at most, if given."""
+    over = rows.withColumn("expires_at", F.col(ts) + F.expr(f"make_dt_interval(0, 0, 0, {ttl_seconds})")).where(F.col("expires_at") <= F.lit(now).cast("timestamp"))
+    ordered = over.orderBy("expires_at", *[c for c in rows.columns if c != ts])
+    return ordered if size is None else ordered.limit(size)
 
 
 def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +119,29 @@ def ttl_expired(spark, sf_dir):
     return expired(table(spark, sf_dir, "events").select("event_id", "ts"), "ts", 86_400, "2024-01-15T00:00:00Z")
 
 
+def ttl_batch(spark, sf_dir):
+    """The 100 events to expire next."""
+    return expired(table(spark, sf_dir, "events").select("event_id", "ts"), "ts", 86_400, "2024-01-15T00:00:00Z", 100)
+
+
+def task_results(spark, sf_dir):
+    """State of each build (user): the last step and its error, also where that is none, and when it first finished (a purchase), which later steps leave."""
+    step = F.struct("ts", "event_id")
+    e = table(spark, sf_dir, "events").withColumn("error", F.when(F.col("event_type") == "error", F.concat(F.lit("value "), F.col("event_id").cast("string"))))
+    return e.groupBy("user_id").agg(F.max_by("event_type", step).alias("state"), F.max_by(F.struct("error"), step)["error"].alias("error"), F.min(F.when(F.col("event_type") == "purchase", F.col("ts"))).alias("finished_at"))
+
+
+def build_pages(spark, sf_dir):
+    """The result of a build by live file: its state, coverage, and the ids of the first 20 of its chunks."""
+    report = file_report(spark, sf_dir)
+    chunks = table(spark, sf_dir, "knowledge_chunk")
+    first = F.row_number().over(Window.partitionBy("fs_entry_id").orderBy("chunk_no", "kid"))
+    page = chunks.select("fs_entry_id", "chunk_no", "kid", first.alias("n")).where("n <= 20").groupBy("fs_entry_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "kid"))), lambda x: x["kid"]), ",").alias("page"))
+    covered = coverage_report(spark, sf_dir).select("fs_entry_id", "embedded", "embedded_rate")
+    joined = report.join(covered.withColumnRenamed("fs_entry_id", "kid"), "kid", "left").join(page.withColumnRenamed("fs_entry_id", "kid"), "kid", "left")
+    return joined.select("kid", "status", "chunks", F.coalesce("embedded", F.lit(0)).alias("embedded"), F.coalesce("embedded_rate", F.lit(0.0)).alias("embedded_rate"), "page")
+
+
 def file_report(spark, sf_dir):
     """By live file: characters, lines and chunks of what is stored of it."""
     chunks = table(spark, sf_dir, "knowledge_chunk").groupBy("fs_entry_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("chunk_text")).alias("characters"), F.max("end_line").alias("last_line"), F.max("updated_at").alias("built_at"))
@@ -126,7 +151,7 @@ def file_report(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (coverage_report, latest_task, latest_chunks, chunk_pages, duplicate_checksum, metadata_upsert, replace_by_file, task_states, kb_lookup, update_summary, ttl_expired, file_report)}
+    return {f.__name__: f for f in (coverage_report, latest_task, latest_chunks, chunk_pages, duplicate_checksum, metadata_upsert, replace_by_file, task_states, kb_lookup, update_summary, ttl_expired, ttl_batch, task_results, build_pages, file_report)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -143,6 +168,12 @@ def oracle_sql() -> dict[str, str]:
         "kb_lookup": "SELECT DISTINCT regexp_extract(query_id, '\\d+') AS code, b.kid FROM inference_result r JOIN knowledge_base b ON b.kid = TRY_CAST(regexp_extract(query_id, '\\d+') AS bigint) AND NOT b.is_deleted",
         "update_summary": "SELECT count(*) AS total, count(*) FILTER (error IS NULL) AS succeeded, count(*) FILTER (error IS NOT NULL) AS failed FROM inference_result",
         "ttl_expired": "SELECT event_id, ts, ts + INTERVAL 1 DAY AS expires_at FROM events WHERE ts + INTERVAL 1 DAY <= TIMESTAMP '2024-01-15 00:00:00'",
+        "ttl_batch": "SELECT event_id, ts, ts + INTERVAL 1 DAY AS expires_at FROM events WHERE ts + INTERVAL 1 DAY <= TIMESTAMP '2024-01-15 00:00:00' ORDER BY expires_at, event_id LIMIT 100",
+        "task_results": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, CASE WHEN arg_max(event_type, (ts, event_id)) = 'error' THEN 'value ' || arg_max(event_id, (ts, event_id)) END AS error, min(ts) FILTER (event_type = 'purchase') AS finished_at FROM events GROUP BY ALL",
+        "build_pages": """WITH c AS (SELECT fs_entry_id, count(*) AS chunks, max(updated_at) AS built_at FROM knowledge_chunk GROUP BY ALL), v AS (SELECT c.fs_entry_id, count(e.vec_id) AS embedded, round(count(e.vec_id) / count(*) * 100, 2) AS rate FROM knowledge_chunk c LEFT JOIN embeddings e ON e.vec_id = c.kid GROUP BY ALL),
+            p AS (SELECT fs_entry_id, string_agg(kid::varchar, ',' ORDER BY n) AS page FROM (SELECT fs_entry_id, kid, row_number() OVER (PARTITION BY fs_entry_id ORDER BY chunk_no, kid) AS n FROM knowledge_chunk) WHERE n <= 20 GROUP BY ALL)
+            SELECT f.kid, CASE WHEN c.chunks IS NULL THEN 'pending' WHEN c.built_at < f.updated_at THEN 'stale' ELSE 'complete' END AS status, coalesce(c.chunks, 0) AS chunks, coalesce(v.embedded, 0) AS embedded, coalesce(v.rate, 0) AS embedded_rate, p.page
+            FROM knowledge_fs_entry f LEFT JOIN c ON c.fs_entry_id = f.kid LEFT JOIN v ON v.fs_entry_id = f.kid LEFT JOIN p ON p.fs_entry_id = f.kid WHERE NOT f.is_deleted AND f.entry_type = 'FILE'""",
         "file_report": """WITH c AS (SELECT fs_entry_id, count(*) AS chunks, sum(length(chunk_text))::bigint AS characters, max(end_line) AS last_line, max(updated_at) AS built_at FROM knowledge_chunk GROUP BY ALL)
             SELECT f.kid, CASE WHEN c.chunks IS NULL THEN 'pending' WHEN c.built_at < f.updated_at THEN 'stale' ELSE 'complete' END AS status, coalesce(c.chunks, 0) AS chunks, characters, last_line
             FROM knowledge_fs_entry f LEFT JOIN c ON c.fs_entry_id = f.kid WHERE NOT f.is_deleted AND f.entry_type = 'FILE'""",

@@ -133,12 +133,43 @@ def token_budget(most: int, reserved: int = 2000, share: float = 0.8) -> int:
     return max(0, int(most * share) - reserved)
 
 
-def confidence(rows: DataFrame, group: str, score: str, tie: str) -> DataFrame:
-    """The mean of the three best scores of each group; 0 without any."""
-    top = ranked(rows.where(F.col(score).isNotNull()), [group], score, tie).where("rank <= 3").groupBy(group).agg(F.avg(score).alias("confidence"))
+def confidence(rows: DataFrame, group: str, score: str, tie: str, cited: str | None = None) -> DataFrame:
+    """The mean of the three best scores of each group, of those cited if any is; 0 without any."""
+    scored = cited_only(rows, group, cited) if cited else rows
+    top = ranked(scored.where(F.col(score).isNotNull()), [group], score, tie).where("rank <= 3").groupBy(group).agg(F.avg(score).alias("confidence"))
     return rows.select(group).distinct().join(top, group, "left").select(group, F.round(F.coalesce("confidence", F.lit(0.0)), 6).alias("confidence"))
 
 
+def cited_only(rows: DataFrame, group: str, cited: str) -> DataFrame:
+    """The cited rows of the groups that have any, all rows of the others."""
+    some = rows.where(cited).groupBy(F.col(group).alias("__group")).agg(F.lit(True).alias("__some"))
+    marked = rows.join(some, F.col(group).eqNullSafe(F.col("__group")), "left")
+    return marked.where(F.col("__some").isNull() | F.coalesce(F.col(cited), F.lit(False))).select(*rows.columns)
+
+
+def collected_sources(rows: DataFrame, group: str, source: str, text: str, order: str, cited: str) -> DataFrame:
+    """(group, source, head, first, n): the sources of each group, the cited ones if any is, once each by source and first 50 characters of the text."""
+    return cited_only(rows, group, cited).groupBy(group, source, F.substring(text, 1, 50).alias("head")).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+#: Headings of the kinds of sources in a context.
+SECTIONS = {"knowledge_base": "[Knowledge Base]", "web": "[Web Search]"}
+
+
+def rendered_sections(rows: DataFrame, query: str) -> DataFrame:
+    """(query, context): rows (query, question, kind, position, title, url, text, truncated) as one text by query, with a section for each kind of source, its passages numbered. Other kinds are left out."""
+    mark = F.when(F.coalesce("truncated", F.lit(False)), " (truncated)").otherwise("")
+    said = F.concat(F.coalesce("text", F.lit("")), mark)
+    first = F.when(F.col("kind") == "web", F.concat(F.coalesce("title", F.lit("")), F.lit("("), F.coalesce("url", F.lit("")), F.lit(")\n"), said)).otherwise(said)
+    items = rows.where(F.col("kind").isin(*SECTIONS)).groupBy(query, "kind").agg(F.array_sort(F.collect_list(F.struct("position", first.alias("said")))).alias("items"))
+    heading = F.create_map(*[F.lit(x) for pair in SECTIONS.items() for x in pair])[F.col("kind")]
+    numbered = F.transform("items", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["said"]))
+    parts = items.select(query, "kind", F.concat(heading, F.lit("\n"), F.array_join(numbered, "\n"), F.lit("\n")).alias("part"))
+    asked = rows.groupBy(query).agg(F.min_by("question", "position").alias("question"))
+    whole = parts.groupBy(query).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "part"))), lambda x: x["part"]), "\n").alias("parts"))
+    return asked.join(whole, query, "left").select(query, F.concat(F.lit("## Sub-query: "), F.coalesce("question", F.lit("")), F.lit("\n\n"), F.coalesce("parts", F.lit(""))).alias("context"))
+
+
 def sub_questions(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, query_id, question): a text's lines that are not blank as sub-questions; without any the text itself."""
     lines = F.filter(F.transform(F.split(text_col, r"\r?\n"), F.trim), lambda x: x != "")
@@ -160,6 +191,17 @@ def pending(questions: DataFrame, results: DataFrame) -> DataFrame:
     return questions.join(done, "query_id", "left_anti")
 
 
+def selected(questions: DataFrame, results: DataFrame, retry_failed: bool = False, ids: list[str] | None = None, sample: int | None = None) -> DataFrame:
+    """Questions to run: those named by ids; a sample of a size (by hash, the same each time); those whose last result failed; else those without a last result that is good. A result failed if it has an error or no answer."""
+    if ids is not None:
+        return questions.where(F.col("query_id").isin(ids))
+    if sample is not None:
+        return questions.orderBy(F.xxhash64("query_id"), "query_id").limit(sample)
+    last = results.groupBy("query_id").agg(F.max_by(F.struct("error", "answer"), "line_no").alias("r"))
+    good = (F.coalesce("r.error", F.lit("")) == "") & (F.coalesce("r.answer", F.lit("")) != "")
+    return questions.join(last.where(~good).select("query_id"), "query_id", "left_semi") if retry_failed else questions.join(last.where(good).select("query_id"), "query_id", "left_anti")
+
+
 def report(results: DataFrame, *by: str) -> DataFrame:
     """Correct answers and accuracy over all results (unscored ones count), tokens, mean latency, unscored and errors."""
     return results.groupBy(*by).agg(
@@ -234,6 +276,38 @@ def source_collection(spark, sf_dir):
     return d.groupBy("source", "head").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
 
 
+def _cited(spark, sf_dir):
+    return table(spark, sf_dir, "inference_result").select(F.coalesce("judge_model", F.lit("none")).alias("judge"), "query_id", "latency_ms", "line_no", "answer", (F.col("score") == 1).alias("cited"))
+
+
+def cited_confidence(spark, sf_dir):
+    """By query: the mean of its three slowest results, of those that are right if any is."""
+    return confidence(_cited(spark, sf_dir), "query_id", "latency_ms", "line_no", "cited")
+
+
+def cited_sources(spark, sf_dir):
+    return collected_sources(_cited(spark, sf_dir), "query_id", "judge", "answer", "line_no", "cited")
+
+
+def sub_query_context(spark, sf_dir):
+    """Each query's results as passages, those with an error as pages."""
+    r = table(spark, sf_dir, "inference_result")
+    rows = r.select("query_id", "question", F.when(F.col("error").isNull(), "knowledge_base").otherwise("web").alias("kind"), F.col("line_no").alias("position"), F.col("judge_model").alias("title"), F.col("error").alias("url"), F.col("answer").alias("text"), (F.col("score") == 0).alias("truncated"))
+    return rendered_sections(rows, "query_id")
+
+
+def resume_failed(spark, sf_dir):
+    results = table(spark, sf_dir, "inference_result")
+    return selected(results.select("query_id").distinct(), results, retry_failed=True)
+
+
+def resume_rest(spark, sf_dir):
+    """Queries without a last good result, among all ids of documents' bases and of results."""
+    results = table(spark, sf_dir, "inference_result")
+    more = table(spark, sf_dir, "knowledge_base").select(F.concat(F.lit("new-"), "kid").alias("query_id"))
+    return selected(results.select("query_id").unionAll(more).distinct(), results)
+
+
 def question_stats(spark, sf_dir):
     """Questions by number of words, and mean length."""
     q = table(spark, sf_dir, "inference_result").withColumn("words", F.size(F.split(F.trim("question"), r"\s+")))
@@ -241,7 +315,7 @@ def question_stats(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (user_history5, result_index_ids, group_rank, round_robin_context, rendered_context, answer_confidence, question_lines, judge_parse, resume_pending, eval_report, latency_percentiles, source_collection, question_stats)}
+    return {f.__name__: f for f in (user_history5, result_index_ids, group_rank, round_robin_context, rendered_context, answer_confidence, question_lines, judge_parse, resume_pending, eval_report, latency_percentiles, source_collection, cited_confidence, cited_sources, sub_query_context, resume_failed, resume_rest, question_stats)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -257,5 +331,16 @@ def oracle_sql() -> dict[str, str]:
         "eval_report": f"SELECT {judge}, count(*) AS total, count(*) FILTER (score = 1) AS correct, round(count(*) FILTER (score = 1) / count(*), 6) AS accuracy, sum(tokens_used)::bigint AS tokens, round(sum(latency_ms), 3) AS latency_ms, count(*) FILTER (score IS NULL) AS unscored, count(*) FILTER (error IS NOT NULL) AS errors FROM inference_result GROUP BY 1",
         "latency_percentiles": f"SELECT judge, median(latency_ms) AS p50, list_sort(list(latency_ms))[least((count(*) * 0.99)::bigint + CASE WHEN (count(*) * 0.99)::bigint > count(*) * 0.99 THEN -1 ELSE 0 END, count(*) - 1) + 1] AS p99, max(latency_ms) AS most FROM (SELECT {judge}, latency_ms FROM inference_result WHERE latency_ms IS NOT NULL) GROUP BY judge",
         "source_collection": "SELECT source, substr(text, 1, 50) AS head, min(doc_id) AS doc_id, count(*) AS n FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY ALL",
+        "cited_confidence": """WITH r AS (SELECT query_id, latency_ms, line_no, coalesce(score = 1, false) AS c, bool_or(coalesce(score = 1, false)) OVER (PARTITION BY query_id) AS has_c FROM inference_result),
+            k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY latency_ms DESC, line_no) AS n FROM r WHERE (c OR NOT has_c) AND latency_ms IS NOT NULL)
+            SELECT q.query_id, round(coalesce(avg(k.latency_ms), 0), 6) AS confidence FROM (SELECT DISTINCT query_id FROM inference_result) q LEFT JOIN k ON k.query_id = q.query_id AND k.n <= 3 GROUP BY ALL""",
+        "cited_sources": f"""WITH r AS (SELECT query_id, {judge}, answer, line_no, coalesce(score = 1, false) AS c, bool_or(coalesce(score = 1, false)) OVER (PARTITION BY query_id) AS has_c FROM inference_result)
+            SELECT query_id, judge, substr(answer, 1, 50) AS head, min(line_no) AS first, count(*) AS n FROM r WHERE c OR NOT has_c GROUP BY ALL""",
+        "sub_query_context": """WITH r AS (SELECT query_id, question, line_no, CASE WHEN error IS NULL THEN 'knowledge_base' ELSE 'web' END AS kind, CASE WHEN error IS NULL THEN '' ELSE coalesce(judge_model, '') || '(' || error || ')' || chr(10) END || coalesce(answer, '') || CASE WHEN score = 0 THEN ' (truncated)' ELSE '' END AS said FROM inference_result),
+            n AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY line_no) AS i FROM r),
+            p AS (SELECT query_id, kind, CASE kind WHEN 'web' THEN '[Web Search]' ELSE '[Knowledge Base]' END || chr(10) || string_agg(i || '. ' || said, chr(10) ORDER BY i) || chr(10) AS part FROM n GROUP BY query_id, kind)
+            SELECT query_id, '## Sub-query: ' || q.question || chr(10) || chr(10) || string_agg(part, chr(10) ORDER BY kind) AS context FROM p JOIN (SELECT query_id, arg_min(question, line_no) AS question FROM r GROUP BY ALL) q USING (query_id) GROUP BY query_id, q.question""",
+        "resume_failed": "SELECT query_id FROM (SELECT query_id, arg_max((error, answer), line_no) AS r FROM inference_result GROUP BY ALL) WHERE NOT (coalesce(r[1], '') = '' AND coalesce(r[2], '') <> '')",
+        "resume_rest": "SELECT query_id FROM (SELECT query_id, arg_max((error, answer), line_no) AS r FROM inference_result GROUP BY ALL) WHERE NOT (coalesce(r[1], '') = '' AND coalesce(r[2], '') <> '') UNION ALL SELECT 'new-' || kid FROM knowledge_base",
         "question_stats": "SELECT len(regexp_split_to_array(trim(question, ' '), '\\s+'))::int AS words, count(*) AS n, round(avg(length(question)), 2) AS mean_length FROM inference_result GROUP BY ALL",
     }

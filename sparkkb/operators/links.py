@@ -13,7 +13,8 @@ from sparkkb.operators.orphans import path_keys
 from sparkkb.session import table
 
 SPAN = r"!?\[[^\]\n]*\]\(\s*(?:<(?=[^<>\s]+>))?([^()\s<>]+)>?(?:\s+[^()\n]*)?\)"
-TOKEN = r"(?<![\w/])kbref://(\d+)(?!\w)"
+SCHEME = "kbref://"
+TOKEN = rf"(?<![\w/]){SCHEME}(\d+)(?!\w)"
 
 
 def spans(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:

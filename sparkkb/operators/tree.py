@@ -95,18 +95,33 @@ def _inside(path: str, base: int) -> Column:
 
 
 def moved(entries: DataFrame, base: int, path: str, to: str) -> DataFrame:
-    """The entry table after a file or directory moved (or was renamed): paths, names and depths of its subtree. Not into itself."""
+    """The entry table after a file or directory moved (or was renamed): parent, paths, names and depths of its subtree. Not into itself. The parent is null at the top, and where the new place has no directory yet."""
     if to == path or to.startswith(path + "/"):
         raise ValueError("an entry can't be moved into itself")
     inside = _inside(path, base) & ~F.col("is_deleted")
     at_top = inside & (F.col("virtual_path") == path)
-    return entries.withColumns(
-        {
-            "name": F.when(at_top, to.rsplit("/", 1)[1]).otherwise(F.col("name")),
-            "depth": F.when(inside, F.col("depth") + (to.count("/") - path.count("/"))).otherwise(F.col("depth")),
-            "virtual_path": F.when(inside, F.concat(F.lit(to), F.expr(f"substring(virtual_path, {len(path) + 1})"))).otherwise(F.col("virtual_path")),
-        }
-    )
+    above = to.rsplit("/", 1)[0]
+    parent = lookup(entries, base, above).agg(F.max("kid")).first()[0] if above else None
+    changes = {
+        "name": F.when(at_top, to.rsplit("/", 1)[1]).otherwise(F.col("name")),
+        "depth": F.when(inside, F.col("depth") + (to.count("/") - path.count("/"))).otherwise(F.col("depth")),
+        "virtual_path": F.when(inside, F.concat(F.lit(to), F.expr(f"substring(virtual_path, {len(path) + 1})"))).otherwise(F.col("virtual_path")),
+        "parent_entry_id": F.when(at_top, F.lit(parent).cast("long")).otherwise(F.col("parent_entry_id")) if "parent_entry_id" in entries.columns else None,
+    }
+    return entries.withColumns({k: c for k, c in changes.items() if c is not None})
+
+
+def moved_batch(entries: DataFrame, base: int, moves: list[tuple[str, str]]) -> tuple[DataFrame, list[tuple[str, str, str]]]:
+    """The entry table after several moves, one after another, and (path, to, status) of each: ``moved``, ``not found``, ``into itself`` or ``taken``. ValueError if an entry is to be moved twice."""
+    if len({path for path, _ in moves}) < len(moves):
+        raise ValueError("an entry can be moved once only")
+    said = []
+    for path, to in moves:
+        there = {r["virtual_path"] for r in live(entries).where((F.col("knowledge_base_id") == base) & F.col("virtual_path").isin(path, to)).select("virtual_path").distinct().collect()}
+        status = "into itself" if to == path or to.startswith(path + "/") else "not found" if path not in there else "taken" if to in there else "moved"
+        entries = moved(entries, base, path, to) if status == "moved" else entries
+        said.append((path, to, status))
+    return entries, said
 
 
 def deleted(entries: DataFrame, base: int, path: str) -> DataFrame:
@@ -166,6 +181,25 @@ def move_subtree(spark, sf_dir):
     return moved(e, 7, _top(e), "/new/place/for_it").select("kid", "name", "virtual_path", "depth")
 
 
+def _first_file(entries: DataFrame, top: str) -> str:
+    """The first file in a directory of base 7."""
+    return live(entries).where((F.col("knowledge_base_id") == 7) & (F.col("entry_type") == "FILE") & (parent_path("virtual_path") == top)).orderBy("kid").first()["virtual_path"]
+
+
+def move_to_top(spark, sf_dir):
+    e = _entries(spark, sf_dir)
+    return moved(e, 7, _first_file(e, _top(e)), "/out.md").select("kid", "parent_entry_id", "name", "virtual_path", "depth")
+
+
+def move_batch(spark, sf_dir):
+    """Two moves that follow each other, and three that are refused."""
+    e = _entries(spark, sf_dir)
+    top = _top(e)
+    after, said = moved_batch(e, 7, [(_first_file(e, top), "/out.md"), ("/out.md", top + "/back.md"), ("/nowhere", "/x"), (top, top + "/y"), (top + "/back.md", top)])
+    assert [x for *_, x in said] == ["moved", "moved", "not found", "into itself", "taken"]
+    return after.select("kid", "parent_entry_id", "name", "virtual_path", "depth")
+
+
 def soft_delete_visibility(spark, sf_dir):
     e = _entries(spark, sf_dir)
     after = live(deleted(e, 7, _top(e)))
@@ -191,8 +225,13 @@ def _moved_sql(to: str) -> str:
         FROM knowledge_fs_entry, (SELECT {_TOP_SQL} AS top)"""
 
 
+_FILE_SQL = f"""SELECT e.kid, CASE WHEN e.kid = f.kid THEN {{parent}} ELSE e.parent_entry_id END AS parent_entry_id, CASE WHEN e.kid = f.kid THEN '{{name}}' ELSE e.name END AS name,
+    CASE WHEN e.kid = f.kid THEN {{path}} ELSE e.virtual_path END AS virtual_path, CASE WHEN e.kid = f.kid THEN {{depth}} ELSE e.depth END AS depth FROM knowledge_fs_entry e, (SELECT kid, parent_entry_id AS parent, depth AS d, regexp_replace(virtual_path, '/[^/]*$', '') AS top
+      FROM knowledge_fs_entry WHERE knowledge_base_id = 7 AND NOT is_deleted AND entry_type = 'FILE' AND regexp_replace(virtual_path, '/[^/]*$', '') = {_TOP_SQL} ORDER BY kid LIMIT 1) f"""
+
+
 def queries() -> dict:
-    return {"list_dir": list_dir_top} | {f.__name__: f for f in (glob_segments, subtree_files, path_recursive, ancestor_path, rename_subtree, move_subtree, soft_delete_visibility, directories_to_create, tree_labels)}
+    return {"list_dir": list_dir_top} | {f.__name__: f for f in (glob_segments, subtree_files, path_recursive, ancestor_path, rename_subtree, move_subtree, move_to_top, move_batch, soft_delete_visibility, directories_to_create, tree_labels)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -205,6 +244,8 @@ def oracle_sql() -> dict[str, str]:
         "ancestor_path": "SELECT f.kid, string_agg(a.name, '/' ORDER BY length(a.virtual_path)) AS names FROM knowledge_fs_entry f JOIN knowledge_fs_entry a ON a.knowledge_base_id = f.knowledge_base_id AND NOT a.is_deleted AND (a.virtual_path = f.virtual_path OR starts_with(f.virtual_path, a.virtual_path || '/')) WHERE NOT f.is_deleted GROUP BY f.kid",
         "rename_subtree": _moved_sql("/renamed"),
         "move_subtree": _moved_sql("/new/place/for_it"),
+        "move_to_top": _FILE_SQL.format(parent="NULL", name="out.md", path="'/out.md'", depth="1"),
+        "move_batch": _FILE_SQL.format(parent="f.parent", name="back.md", path="f.top || '/back.md'", depth="f.d"),
         "soft_delete_visibility": f"SELECT knowledge_base_id, entry_type, count(*) AS visible FROM knowledge_fs_entry, (SELECT {_TOP_SQL} AS top) WHERE NOT is_deleted AND NOT (knowledge_base_id = 7 AND (virtual_path = top OR starts_with(virtual_path, top || '/'))) GROUP BY ALL",
         "directories_to_create": """SELECT knowledge_base_id, '/imported' AS virtual_path, 1 AS depth FROM documents WHERE knowledge_base_id IS NOT NULL AND file_name IS NOT NULL AND source IS NOT NULL GROUP BY ALL
             UNION ALL SELECT knowledge_base_id, '/imported/' || source, 2 FROM documents WHERE knowledge_base_id IS NOT NULL AND file_name IS NOT NULL AND source IS NOT NULL GROUP BY ALL""",

@@ -16,6 +16,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Operators, as well as the codes of problems below.
 LEAVES = ("eq", "ne", "in", "contains", "exists", "gt", "gte", "lt", "lte", "prefix", "wildcard")
 ORDER = ("gt", "gte", "lt", "lte")
 #: System fields, and their types.
@@ -98,7 +99,7 @@ def validate(where: Any, fields: dict[str, str] | None = None, max_depth: int =
         if op == "exists":
             return wrong("exists takes no value") if "value" in body else None
         if body.get("value") is None:
-            return wrong(f"{op} requires a value")
+            return wrong(f"no value for {op}")
         value = body["value"]
         kind = SYSTEM_FIELDS.get(field) or (fields or {}).get(field) or "any"
         if op == "in":

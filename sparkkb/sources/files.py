@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bounds of an archive: entries, bytes of one entry, bytes of all, counted on what is really unpacked.
+#: Fixed values, the bounds of an archive: entries, bytes of one entry, bytes of all, counted on what is really unpacked.
 MOST_ENTRIES, MOST_ENTRY_BYTES, MOST_BYTES = 10_000, 64 << 20, 256 << 20
 
 
@@ -34,13 +34,15 @@ def location(base: F.Column, entry: F.Column, name: F.Column, converted: bool =
 
 
 def entry_name(raw: str, utf8: bool) -> str:
-    """The name of an archive entry; names that were not marked as UTF-8 are tried as GBK."""
+    """The name of an archive entry; names that were not marked as UTF-8 are tried as GBK, then as UTF-8."""
     if utf8:
         return raw
-    try:
-        return raw.encode("cp437").decode("gbk")
-    except (UnicodeEncodeError, UnicodeDecodeError):
-        return raw
+    for kind in ("gbk", "utf-8"):
+        try:
+            return raw.encode("cp437").decode(kind)
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            continue
+    return raw
 
 
 def _unpack(path: str, content: bytes) -> list[tuple]:
@@ -96,6 +98,10 @@ def import_order(entries: DataFrame) -> DataFrame:
     return entries.withColumn("phase", F.when(F.lower("path").rlike(r"\.(md|markdown)$"), 2).otherwise(1))
 
 
+#: The attribute of a sheet that names its part of the package.
+RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
 def sheet_to_text(content: bytes) -> str:
     """Sheets of an xlsx file: ``## name``, then rows with cells joined by `` | ``; empty rows are dropped. Read from the XML of the package."""
     import xml.etree.ElementTree as ET
@@ -103,14 +109,18 @@ def sheet_to_text(content: bytes) -> str:
     space = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
+        parts = {}
+        if "xl/_rels/workbook.xml.rels" in names:
+            parts = {r.get("Id"): posixpath.normpath(posixpath.join("/xl", r.get("Target", ""))).lstrip("/") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         shared = ["".join(t.text or "" for t in si.iter(f"{{{space['m']}}}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", space)] if "xl/sharedStrings.xml" in names else []
-        titles = [s.get("name", "") for s in ET.fromstring(z.read("xl/workbook.xml")).findall("m:sheets/m:sheet", space)]
+        sheets = ET.fromstring(z.read("xl/workbook.xml")).findall("m:sheets/m:sheet", space)
         out = []
-        for i, title in enumerate(titles, 1):
-            if f"xl/worksheets/sheet{i}.xml" not in names:
+        for i, sheet in enumerate(sheets, 1):
+            part = parts.get(sheet.get(RELATION), f"xl/worksheets/sheet{i}.xml")  # sheets may have been moved or removed
+            if part not in names:
                 continue
             rows = []
-            for row in ET.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")).iter(f"{{{space['m']}}}row"):
+            for row in ET.fromstring(z.read(part)).iter(f"{{{space['m']}}}row"):
                 cells = []
                 for c in row.findall("m:c", space):
                     value = c.findtext("m:v", "", space) if c.get("t") != "inlineStr" else "".join(t.text or "" for t in c.iter(f"{{{space['m']}}}t"))
@@ -121,7 +131,8 @@ def sheet_to_text(content: bytes) -> str:
                     cells.append(value.strip())
                 if any(cells):
                     rows.append(" | ".join(cells))
-            out.append("\n".join([f"## {title}", *rows]))
+            if rows:
+                out.append("\n".join([f"## {sheet.get('name', '')}", *rows]))
     return "\n\n".join(out)
 
 
