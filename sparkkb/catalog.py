@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkkb.operators import answers, build, chunking, context, imports, links, platform, problems, retrieval, search, tree
+from sparkkb.operators import answers, build, chunking, context, imports, links, platform, problems, reading, retrieval, search, tree
 
-MODULES = [problems, search, retrieval, tree, links, imports, build, context, chunking, platform, answers]
+MODULES = [problems, search, retrieval, tree, links, imports, build, context, chunking, reading, platform, answers]
 
 
 def queries() -> dict:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkkb.operators.orphans import path_keys
+from sparkkb.operators.orphans import named_paths, path_keys
 from sparkkb.session import table
 
 SPAN = r"!?\[[^\]\n]*\]\(\s*(?:<(?=[^<>\s]+>))?([^()\s<>]+)>?(?:\s+[^()\n]*)?\)"
@@ -47,6 +47,15 @@ def neighbours(links: DataFrame, entries: DataFrame) -> DataFrame:
     return resolved.join(live, "source_id", "left_semi").groupBy(F.col("current_target_id").alias("target_id"), "source_id").agg(F.count(F.lit(1)).alias("edges"))
 
 
+def pending(links: DataFrame, entries: DataFrame) -> DataFrame:
+    """(knowledge_base_id, path, sources, edges): what unresolved edges of live files wait for: inbound edges of a path that has no live file."""
+    live = entries.where("is_deleted = false").select(F.col("kid").alias("source_fs_entry_id")).distinct()
+    open_ = states(links, entries).where("state != 'resolved'").select("kid")
+    named = named_paths(links.where("original_target is not null"), entries, entries.where("is_deleted = false")).where("path is not null").select("kid", "knowledge_base_id", "path").distinct()
+    edges = links.select("kid", "source_fs_entry_id").distinct().join(open_, "kid", "left_semi").join(live, "source_fs_entry_id", "left_semi").join(named, "kid")
+    return edges.groupBy("knowledge_base_id", "path").agg(F.countDistinct("source_fs_entry_id").alias("sources"), F.count(F.lit(1)).alias("edges"))
+
+
 def resolve_tokens(texts: DataFrame, id_col: str, base_col: str, text_col: str, links: DataFrame, entries: DataFrame) -> DataFrame:
     """(id, text): reference tokens replaced by the current path and suffix of their edge, by the original target where it is not resolved, by nothing where the edge is unknown or of another base."""
     parts = texts.select(id_col, F.col(base_col).alias("base"), F.posexplode(F.split(F.regexp_replace(text_col, TOKEN, "\x01$1\x02"), "\x01")).alias("place", "part"))
@@ -78,6 +87,10 @@ def ref_outbound(spark, sf_dir):
     return neighbours(*_both(spark, sf_dir)).groupBy("source_id").agg(F.count(F.lit(1)).alias("targets"), F.sum("edges").alias("edges"))
 
 
+def ref_pending(spark, sf_dir):
+    return pending(*_both(spark, sf_dir))
+
+
 def ref_resolve(spark, sf_dir):
     links, entries = _both(spark, sf_dir)
     texts = links.select("kid", "knowledge_base_id", F.concat(F.lit("a kbref://"), "kid", F.lit(" b kbref://"), F.col("kid") + 1, F.lit(".")).alias("text"))
@@ -100,7 +113,7 @@ def _state_sql() -> str:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (link_extract, ref_state, ref_inbound, ref_outbound, ref_resolve)}
+    return {f.__name__: f for f in (link_extract, ref_state, ref_inbound, ref_outbound, ref_pending, ref_resolve)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -111,5 +124,7 @@ def oracle_sql() -> dict[str, str]:
         "ref_state": sql + "SELECT s.kid, s.state, s.current_target_id, e.virtual_path AS current_path, s.suffix FROM state s LEFT JOIN entry e ON e.kid = s.current_target_id",
         "ref_inbound": sql + "SELECT target_id, count(*) AS sources, sum(edges)::bigint AS edges FROM pairs GROUP BY ALL",
         "ref_outbound": sql + "SELECT source_id, count(*) AS targets, sum(edges)::bigint AS edges FROM pairs GROUP BY ALL",
+        "ref_pending": sql + """SELECT r.knowledge_base_id, r.path, count(DISTINCT k.source_fs_entry_id) AS sources, count(*) AS edges FROM (SELECT DISTINCT kid, knowledge_base_id, CASE WHEN path = '' THEN '/' ELSE path END AS path FROM resolved WHERE path <> '!') r
+            JOIN state s ON s.kid = r.kid AND s.state <> 'resolved' JOIN (SELECT DISTINCT kid, source_fs_entry_id FROM knowledge_file_reference) k ON k.kid = r.kid JOIN (SELECT DISTINCT kid FROM entry WHERE NOT is_deleted) e ON e.kid = k.source_fs_entry_id GROUP BY ALL""",
         "ref_resolve": sql + "SELECT k.kid, 'a ' || coalesce(a.shown, '') || ' b ' || coalesce(b.shown, '') || '.' AS text FROM knowledge_file_reference k LEFT JOIN shown a ON a.kid = k.kid AND a.base = k.knowledge_base_id LEFT JOIN shown b ON b.kid = k.kid + 1 AND b.base = k.knowledge_base_id",
     }
