@@ -319,7 +319,7 @@ def oracle_sql() -> dict[str, str]:
               SELECT v.fs_entry_id, v.value_string FROM knowledge_file_metadata_value v WHERE NOT v.is_deleted AND v.property_name = 'owner' AND NOT EXISTS (SELECT 1 FROM n WHERE n.fs_entry_id = v.fs_entry_id AND n.value_type = v.value_type)) GROUP BY ALL""",
         "import_status": imported + "SELECT doc_id, virtual_path, phase, status FROM status",
         "imported_entries": imported + """, made AS (SELECT * FROM status WHERE status = 'created')
-            SELECT knowledge_base_id, 'FILE' AS entry_type, regexp_extract(virtual_path, '[^/]*$') AS name, virtual_path, len(string_split(virtual_path, '/')) - 1 AS depth, checksum FROM made
+            SELECT knowledge_base_id, 'FILE' AS entry_type, regexp_extract(virtual_path, '[^/]*$') AS name, virtual_path, (len(string_split(virtual_path, '/')) - 1)::int AS depth, checksum FROM made
             UNION ALL SELECT DISTINCT m.knowledge_base_id, 'DIRECTORY', string_split(m.virtual_path, '/')[2], '/' || string_split(m.virtual_path, '/')[2], 1, NULL FROM made m WHERE len(string_split(m.virtual_path, '/')) > 2
               AND NOT EXISTS (SELECT 1 FROM knowledge_fs_entry e WHERE NOT e.is_deleted AND e.knowledge_base_id = m.knowledge_base_id AND e.virtual_path = '/' || string_split(m.virtual_path, '/')[2])""",
         "update_status": """WITH a AS (SELECT DISTINCT target_fs_entry_id AS kid, source_fs_entry_id FROM knowledge_file_reference WHERE target_fs_entry_id IS NOT NULL), f AS (SELECT kid, checksum, line_count FROM knowledge_fs_entry WHERE NOT is_deleted AND entry_type = 'FILE')
