@@ -5,7 +5,7 @@
 2. Each type is stored as one narrow table, partitioned by attribute and bucketed by entity, all with the
    same buckets: an attribute is read alone, and attributes are co-partitioned.
 3. ``wide``    narrow tables are outer-joined onto the entities that any of them has, FAN_IN at a time, and the
-   results likewise, in a balanced tree. Every table of the tree is bucketed by entity, so a join reads buckets
+   results likewise, in a balanced tree; what was joined is one structure, so that rows have few columns. Every table of the tree is bucketed by entity, so a join reads buckets
    and shuffles no cell (above the first level only the entities' ids, to bring them together). Each level is
    stored: a plan of all joins at once would sort all attributes in each task.
 
@@ -29,7 +29,8 @@ MOST_ATTRIBUTES = 10_000
 BUCKET_ROWS = 100_000
 #: Tables of one level that are written at the same time.
 AT_ONCE = 4
-BLANKS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+#: White space of any kind.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 NUMBER = r"^[+-]?(?:(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$"
 DATETIME = r"^(\d{4})[-/](\d{2})[-/](\d{2})(?:[T ](\d{2}:\d{2})(:\d{2})?(?:(Z)|([+-]\d{2}):?(\d{2})?)?)?$"
 #: A number is a double, so that 1e50 and 1e-9 have a value as well; one too large for a double has none and fills no cell.
@@ -67,7 +68,7 @@ def _no_nulls(items: Column) -> Column:
 
 def _value(kind: str) -> Column:
     """The value of a row in a type; null if it has no usable one."""
-    text = F.regexp_replace("value_string", f"^{BLANKS}|{BLANKS}$", "")
+    text = F.btrim("value_string", F.lit(BLANKS))
     if kind == "string":
         return F.coalesce(
             F.when(text != "", F.col("value_string")), F.col("value_number").cast("string"), F.col("value_boolean").cast("string"),
@@ -124,17 +125,17 @@ def attributes(definitions: DataFrame) -> list[tuple[int, str, str]]:
     return sorted((r["kid"], r["property_name"] if r["property_name"] and names.count(r["property_name"]) == 1 else f"{r['property_name'] or 'property'}_{r['kid']}", r["value_type"]) for r in rows)
 
 
-def _joined(parts: list[DataFrame], buckets: int) -> DataFrame:
-    """Bucketed tables with fs_entry_id outer-joined onto the entities that any of them has."""
+def _joined(parts: list[tuple[DataFrame, dict[int, str]]], buckets: int) -> tuple[DataFrame, dict[int, str]]:
+    """Bucketed tables (fs_entry_id, cells) outer-joined onto the entities that any of them has, and where each attribute is in the new cells."""
     # An expression in place of the column: a union of bucketed scans claims their buckets, but reads them without.
-    ids = [part.select(F.coalesce("fs_entry_id", F.lit(0)).alias("fs_entry_id")) for part in parts]
+    ids = [part.select(F.coalesce("fs_entry_id", F.lit(0)).alias("fs_entry_id")) for part, _ in parts]
     whole = ids[0]
     for more in ids[1:]:
         whole = whole.unionAll(more)
     whole = whole.repartition(buckets, "fs_entry_id").distinct()
-    for part in parts:
-        whole = whole.join(part.hint("merge"), "fs_entry_id", "left")
-    return whole
+    for i, (part, _) in enumerate(parts):
+        whole = whole.join(part.withColumnRenamed("cells", f"g{i}").hint("merge"), "fs_entry_id", "left")
+    return whole.select("fs_entry_id", F.struct(*[f"g{i}" for i in range(len(parts))]).alias("cells")), {k: f"g{i}.{at}" for i, (_, of) in enumerate(parts) for k, at in of.items()}
 
 
 def wide(values: DataFrame, definitions: DataFrame) -> tuple[DataFrame, list[tuple[int, str, str]]]:
@@ -154,28 +155,29 @@ def wide(values: DataFrame, definitions: DataFrame) -> tuple[DataFrame, list[tup
         # One file for each bucket and attribute; cells are unique by now, so no entity is hot.
         return materialize_bucketed(found.repartition(buckets, "fs_entry_id"), f"narrow_{kind.lower()}", "fs_entry_id", "property_def_id", buckets=buckets)
 
-    level: list[DataFrame] = []
     stored = dict(zip(of, each(store, list(of)), strict=True))
     groups = [(t, some[i : i + FAN_IN]) for t, some in of.items() for i in range(0, len(some), FAN_IN)]
 
     def first(group: tuple[str, list[tuple[int, str]]]) -> DataFrame:
+        """(fs_entry_id, cells): the attributes of a group, by id."""
         kind, some = group
         table = stored[kind].where(F.col("property_def_id").isin([k for k, _ in some]))
         whole = table.select("fs_entry_id").distinct()
-        for k, name in some:
-            part = stored[kind].where(F.col("property_def_id") == k).select("fs_entry_id", F.col("value").alias(name), F.col("kid").alias(f"{name}__kid"))
+        for k, _ in some:
+            part = stored[kind].where(F.col("property_def_id") == k).select("fs_entry_id", F.struct("value", "kid").alias(f"c{k}"))
             whole = whole.join(part.hint("merge"), "fs_entry_id", "left")
-        return whole
+        return whole.select("fs_entry_id", F.struct(*[f"c{k}" for k, _ in some]).alias("cells"))
 
     def keep(df: DataFrame) -> DataFrame:
         return materialize_bucketed(df, "joined", "fs_entry_id", buckets=buckets)
 
-    level = [first(g) for g in groups]
+    level = [(first(g), {k: f"c{k}" for k, _ in g[1]}) for g in groups]  # and where each attribute is in cells
     while len(level) > 1:
-        level = each(keep, level)
-        level = [_joined(level[i : i + FAN_IN], buckets) for i in range(0, len(level), FAN_IN)]
-    order = [c for _, name, _ in columns for c in (name, f"{name}__kid")]
-    return level[0].select("fs_entry_id", *[F.col(f"`{c}`") for c in order]), columns
+        tables = each(keep, [t for t, _ in level])
+        level = [_joined(list(zip(tables[i : i + FAN_IN], [at for _, at in level[i : i + FAN_IN]], strict=True)), buckets) for i in range(0, len(level), FAN_IN)]
+    whole, at = level[0]
+    cells_ = [c for k, name, _ in columns for c in (F.col(f"cells.{at[k]}.value").alias(name), F.col(f"cells.{at[k]}.kid").alias(f"{name}__kid"))]
+    return whole.select("fs_entry_id", *cells_), columns
 
 
 def filled_by(table: DataFrame, columns: list[tuple[int, str, str]]) -> DataFrame:
