@@ -89,7 +89,7 @@ def import_report(files: DataFrame, entries: DataFrame, reject_copies: bool = Fa
     Status: ``refused`` for an unusable path, ``repeated`` if an earlier file has the path, ``exists`` if a live entry has it, ``copy`` if copies are rejected and a live
     file of the base has the content, else ``created``. Markdown is phase 2, so that its links find their targets.
     """
-    named = files.withColumn("virtual_path", cleaned_path("path"))
+    named = files.select("place", "knowledge_base_id", "path", "checksum", cleaned_path("path").alias("virtual_path"))
     first = named.where("virtual_path is not null").groupBy("knowledge_base_id", "virtual_path").agg(F.min("place").alias("first"))
     live = tree.live(entries)
     taken = live.select("knowledge_base_id", "virtual_path", F.lit(True).alias("taken")).distinct()
