@@ -7,10 +7,11 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkkb.functions import markup
+from sparkkb.functions.paths import decode_percent
 from sparkkb.operators import chunking
 from sparkkb.session import scratch_path, table
 from sparkkb.sources import files
@@ -66,6 +67,25 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def page_name(url: Column | str) -> Column:
+    """The file name of a wiki page: its title, decoded twice, at most 80 characters of it, and six of the link's md5; without a title twelve of the md5."""
+    url = F.col(url) if isinstance(url, str) else url
+    raw = F.regexp_extract(F.substring_index(url, "#", 1), r"wikipedia\.org/(?:wiki/|w/index\.php\?(?:[^#]*&)?title=)([^#]+)", 1)
+    title = decode_percent(decode_percent(F.substring_index(F.substring_index(F.ltrim(raw, F.lit("/")), "?", 1), "&", 1)))
+    digest = F.md5(url.cast("binary"))
+    return F.concat(F.when(raw != "", F.substring(F.replace(title, F.lit("/"), F.lit("_")), 1, 80)).otherwise(F.substring(digest, 1, 12)), F.lit("_"), F.substring(digest, 1, 6), F.lit(".txt"))
+
+
+def page_texts(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """(id, text) of wiki pages; null pages have a null text."""
+
+    @F.pandas_udf("string")
+    def text(pages: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else markup.page_to_text(p) for p in pages], dtype=object)
+
+    return pages.select(id_col, text(html_col).alias("text"))
+
+
 def results_from_files(spark, sf_dir):
     """Results written as JSON lines, read again as files, decoded and parsed."""
     path = scratch_path(spark, "results")
@@ -116,6 +136,22 @@ def converted_plain(spark, sf_dir):
     return chunking.converted(_documents(spark, sf_dir).select("doc_id", "text", F.lit("txt").alias("kind")), "doc_id", "text", "kind")
 
 
+def page_names(spark, sf_dir):
+    """Links to wiki pages, and to others, by what the reference table names."""
+    r = table(spark, sf_dir, "knowledge_file_reference").select("kid", "original_target").where("original_target is not null").distinct()
+    urls = F.array(F.concat(F.lit("https://de.wikipedia.org/wiki/"), "original_target"), F.concat(F.lit("https://x.org/"), "original_target"))
+    return r.select("kid", F.explode(urls).alias("url")).select("kid", page_name("url").alias("name"))
+
+
+def page_questions(spark, sf_dir):
+    """A page for each question, with boxes, references and closing sections around it."""
+    said = F.replace(F.replace("question", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = F.concat(
+        F.lit('<html><head><title>t</title><style>p{}</style></head><body><div class="navbox big"><p>box</p></div><h1>'), "query_id", F.lit("</h1><p>"), said, F.lit('<sup class="reference"><a href="#1">[1]</a></sup> <a href="/x">more</a>[2]<img src="y"></p>'
+        '<figure><p>seen</p></figure><div class="mw-heading"><h2 id="References">References</h2></div><ul><li>gone</li></ul><p>gone too</p></body></html>'))
+    return page_texts(table(spark, sf_dir, "inference_result").select("line_no", page.alias("page")), "line_no", "page")
+
+
 def document_lines(spark, sf_dir):
     return line_offsets(_documents(spark, sf_dir), "doc_id", "text")
 
@@ -126,7 +162,7 @@ def marked_headings(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (results_from_files, results_from_lines, archive_entries, sheet_texts, csv_texts, converted_plain, document_lines, marked_headings)}
+    return {f.__name__: f for f in (results_from_files, results_from_lines, archive_entries, sheet_texts, csv_texts, converted_plain, page_names, page_questions, document_lines, marked_headings)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -139,6 +175,11 @@ def oracle_sql() -> dict[str, str]:
         "sheet_texts": "SELECT kid, '## Sizes' || chr(10) || name || ' |' || coalesce(' ' || file_size, '') || chr(10) || chr(10) || '## Names' || chr(10) || 'names' AS text, 'converted' AS status FROM knowledge_fs_entry WHERE entry_type = 'FILE'",
         "csv_texts": "SELECT kid, 'name | path' || chr(10) || 'a \"b\", c | ' || virtual_path AS text, 'converted' AS status FROM knowledge_fs_entry WHERE entry_type = 'FILE'",
         "converted_plain": r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(0), ''), '^\x{feff}', ''), '[ \t]+(\n|$)', '\1', 'g'), '^[\s\x0b]+|[\s\x0b]+$', '', 'g') AS text, 'converted' AS status FROM documents""",
+        "page_names": r"""WITH u AS (SELECT DISTINCT kid, p || original_target AS url, p = 'https://de.wikipedia.org/wiki/' AS wiki FROM knowledge_file_reference, (VALUES ('https://de.wikipedia.org/wiki/'), ('https://x.org/')) v(p) WHERE original_target IS NOT NULL),
+            t AS (SELECT *, regexp_extract(ltrim(regexp_extract(regexp_extract(url, '^[^#]*'), 'wikipedia\.org/wiki/([^#]+)', 1), '/'), '^[^?&]*') AS raw, regexp_matches(regexp_extract(url, '^[^#]*'), 'wikipedia\.org/wiki/[^#]+') AS named FROM u),
+            d AS (SELECT *, url_decode(replace(regexp_replace(url_decode(replace(regexp_replace(raw, '%([^0-9A-Fa-f]|[0-9A-Fa-f][^0-9A-Fa-f])', '%25\1', 'g'), '+', '%2B')), '%([^0-9A-Fa-f]|[0-9A-Fa-f][^0-9A-Fa-f])', '%25\1', 'g'), '+', '%2B')) AS title FROM t)
+            SELECT kid, CASE WHEN named THEN substr(replace(title, '/', '_'), 1, 80) ELSE substr(md5(url), 1, 12) END || '_' || substr(md5(url), 1, 6) || '.txt' AS name FROM d""",
+        "page_questions": r"SELECT line_no, CASE WHEN query_id IS NOT NULL AND question IS NOT NULL THEN 't' || chr(10) || chr(10) || '# ' || query_id || chr(10) || chr(10) || ltrim(regexp_replace(question, '\s+', ' ', 'g'), ' ') || ' more' END AS text FROM inference_result",
         "document_lines": f"WITH {lines} SELECT doc_id, line_no, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start, regexp_replace(piece, '[{BREAKS}]+$', '') AS line FROM l",
         "marked_headings": f"""WITH {lines}, f AS (SELECT doc_id, line_no, trim(piece, ' \t' || chr(10) || chr(13)) AS line, regexp_matches(piece, '^\\s*(```|~~~)') AS mark, sum(regexp_matches(piece, '^\\s*(```|~~~)')::int) OVER (PARTITION BY doc_id ORDER BY line_no) AS marks FROM l)
             SELECT doc_id, line_no, length(regexp_extract(line, '^#+'))::int AS level FROM f WHERE regexp_matches(line, '^#{{1,4}}\\s+\\S') AND NOT mark AND marks % 2 = 0""",
