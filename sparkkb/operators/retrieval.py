@@ -249,7 +249,7 @@ def path_type(path: Column | str) -> Column:
     return F.when(path.contains("."), F.lower(F.regexp_extract(path, r"[^.]+$", 0)))
 
 
-TERM, TERMS = "checkpoint", "stale audit trail"
+TERM, PAIR, TERMS = "checkpoint", "audit trail", "stale audit trail"
 
 
 def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,6 +276,17 @@ def text_recall_all(spark, sf_dir):
     return text_recall(_live(spark, sf_dir), TERM).select("chunk_id", F.round("text_score", 6).alias("text_score"))
 
 
+def text_recall_two_terms(spark, sf_dir):
+    return text_recall(_live(spark, sf_dir), PAIR).select("chunk_id", F.round("text_score", 6).alias("text_score"))
+
+
+def hybrid_dual_hit_bonus(spark, sf_dir):
+    """Chunks that both sides find, all of them pooled."""
+    live = _live(spark, sf_dir)
+    fused = fuse(text_recall(live, TERM), vector_recall(live, _vectors(spark, sf_dir), _first(spark, sf_dir)))
+    return fused.where("text_score != 0 and vector_score != 0").select("chunk_id", F.round("text_score", 6).alias("text_score"), F.round("vector_score", 6).alias("vector_score"), F.round("score", 6).alias("score"))
+
+
 def text_recall_cover_density(spark, sf_dir):
     return text_recall(_live(spark, sf_dir), TERMS).select("chunk_id", F.round("text_score", 6).alias("text_score"))
 
@@ -380,7 +391,7 @@ _TOP = "SELECT chunk_id, kb_code, '/' || full_path AS file_path, chunk_no, round
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (hybrid_search_topk, text_recall_topk, text_recall_all, text_recall_cover_density, vector_recall_topk, hybrid_one_side_empty, hybrid_with_filter, search_file_max_score, vector_nearest_batch, federated_merge_hits,
+    return {f.__name__: f for f in (hybrid_search_topk, text_recall_topk, text_recall_all, text_recall_two_terms, hybrid_dual_hit_bonus, text_recall_cover_density, vector_recall_topk, hybrid_one_side_empty, hybrid_with_filter, search_file_max_score, vector_nearest_batch, federated_merge_hits,
         federated_order, hybrid_in_bases, hybrid_search_complete, file_type_filter, distinct_chunk_hits, service_fan_out, questions_recall, questions_recall_words)}
 
 
@@ -389,6 +400,11 @@ def oracle_sql() -> dict[str, str]:
     shown = links._state_sql().replace("WITH ", ", ", 1)
     latest = search._LATEST
     return {
+        # Two terms: the shortest spans with both lie between neighbouring occurrences of different ones.
+        "text_recall_two_terms": f"""WITH {_LIVE}, w AS (SELECT chunk_id, unnest(tokens) AS term, unnest(range(len(tokens))) AS place FROM live),
+            k AS (SELECT *, lag(term) OVER o AS before, lag(place) OVER o AS prev FROM w WHERE term IN ('audit', 'trail') WINDOW o AS (PARTITION BY chunk_id ORDER BY place))
+            SELECT chunk_id, round(sum(0.1::double / (place - prev)), 6) AS text_score FROM k WHERE term <> before GROUP BY ALL""",
+        "hybrid_dual_hit_bonus": f"WITH {_LIVE}, t AS ({_TEXT.format(TERM, 'live')}), v AS ({_VECTOR.format('live')}) SELECT chunk_id, round(text_score, 6) AS text_score, round(vector_score, 6) AS vector_score, round(text_score * 0.4::double + vector_score * 0.6::double + 0.05::double, 6) AS score FROM t JOIN v USING (chunk_id) WHERE text_score <> 0 AND vector_score <> 0",
         "federated_order": merged + """ SELECT * FROM (SELECT kb_code, chunk_id, round(text_score, 6) AS score, false AS is_error FROM hits SEMI JOIN allowed USING (kb_code) UNION ALL SELECT DISTINCT kb_code, NULL::bigint, NULL::double, true FROM hits ANTI JOIN allowed USING (kb_code))
             ORDER BY is_error DESC, score DESC NULLS LAST, chunk_id DESC NULLS LAST, kb_code LIMIT 40""",
         "hybrid_in_bases": _search_sql(TERM, 30, 40, tail="kb_code IN ('3', '7', '11')") + _TOP,
