@@ -17,6 +17,8 @@ SENTINEL = 0x110000
 OTHER, LETTER, NUMBER, SPACE, END = 0, 1, 2, 3, 4
 #: The White_Space property of Unicode.
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+#: Letters and numbers lie in the first four planes; the others are unassigned, private, or hold tags.
+PLANES = 0x40000
 HAN_FIRST, HAN_LAST = 0x4E00, 0x9FFF
 
 
@@ -24,8 +26,9 @@ HAN_FIRST, HAN_LAST = 0x4E00, 0x9FFF
 def classes() -> np.ndarray:
     """Class of each code point: letter, number, white space, other; END for the sentinel."""
     major = {"L": LETTER, "N": NUMBER}
-    out = np.fromiter((major.get(unicodedata.category(chr(c))[0], OTHER) for c in range(SENTINEL)), np.uint8, SENTINEL)
-    out = np.append(out, np.uint8(END))
+    out = np.full(SENTINEL + 1, OTHER, np.uint8)
+    out[:PLANES] = np.fromiter((major.get(unicodedata.category(chr(c))[0], OTHER) for c in range(PLANES)), np.uint8, PLANES)
+    out[SENTINEL] = END
     out[list(WHITE_SPACE)] = SPACE
     return out
 

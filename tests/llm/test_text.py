@@ -186,6 +186,12 @@ def test_words_of_a_batch(texts):
     assert len({h for h in hashes.tolist()}) <= len({w.lower() for t in said for w in t}) + 2
 
 
+def test_no_letters_beyond_the_planes():
+    import unicodedata
+
+    assert not any(unicodedata.category(chr(c))[0] in "LN" for c in range(codepoints.PLANES, codepoints.SENTINEL))
+
+
 def test_long_words_hash_alike_alone_and_in_company():
     long = "y" * 9001
     one, _ = codepoints.words(*codepoints.flat(pa.array([long, "ab"])))
