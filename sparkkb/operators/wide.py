@@ -28,7 +28,7 @@ MOST_ATTRIBUTES = 10_000
 #: Rows of a bucket, as long as there are no more buckets than shuffle partitions: each attribute is a file a bucket.
 BUCKET_ROWS = 100_000
 #: Tables of one level that are written at the same time.
-AT_ONCE = 4
+AT_ONCE = 8
 #: White space of any kind.
 BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 NUMBER = r"^[+-]?(?:(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$"
@@ -171,7 +171,7 @@ def wide(values: DataFrame, definitions: DataFrame) -> tuple[DataFrame, list[tup
     def keep(df: DataFrame) -> DataFrame:
         return materialize_bucketed(df, "joined", "fs_entry_id", buckets=buckets)
 
-    level = [(first(g), {k: f"c{k}" for k, _ in g[1]}) for g in groups]  # and where each attribute is in cells
+    level = [(df, {k: f"c{k}" for k, _ in some}) for df, (_, some) in zip(each(first, groups), groups, strict=True)]  # and where each attribute is in cells
     while len(level) > 1:
         tables = each(keep, [t for t, _ in level])
         level = [_joined(list(zip(tables[i : i + FAN_IN], [at for _, at in level[i : i + FAN_IN]], strict=True)), buckets) for i in range(0, len(level), FAN_IN)]
