@@ -20,6 +20,10 @@ from sparkkb.sources import files
 BREAKS = r"\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}"
 
 
+#: Where the title of a wiki page begins in a link.
+PAGE_TITLE = r"wikipedia\.org/(?:wiki/|w/index\.php\?(?:[^#]*&)?title=)([^#]+)"
+
+
 def line_offsets(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no, start, line): the lines of each text, at whatever Unicode ends one, from 1, with the characters before each. A null or empty text has no lines; repeated ids are told apart by nothing, so ids must be unique."""
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(rf"[^{BREAKS}]*(?:\r\n|[{BREAKS}])|[^{BREAKS}]+$"), F.lit(0))
@@ -70,7 +74,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_name(url: Column | str) -> Column:
     """The file name of a wiki page: its title, decoded twice, at most 80 characters of it, and six of the link's md5; without a title twelve of the md5."""
     url = F.col(url) if isinstance(url, str) else url
-    raw = F.regexp_extract(F.substring_index(url, "#", 1), r"wikipedia\.org/(?:wiki/|w/index\.php\?(?:[^#]*&)?title=)([^#]+)", 1)
+    raw = F.regexp_extract(F.substring_index(url, "#", 1), PAGE_TITLE, 1)
     title = decode_percent(decode_percent(F.substring_index(F.substring_index(F.ltrim(raw, F.lit("/")), "?", 1), "&", 1)))
     digest = F.md5(url.cast("binary"))
     return F.concat(F.when(raw != "", F.substring(F.replace(title, F.lit("/"), F.lit("_")), 1, 80)).otherwise(F.substring(digest, 1, 12)), F.lit("_"), F.substring(digest, 1, 6), F.lit(".txt"))

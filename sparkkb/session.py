@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -55,16 +56,21 @@ def scratch_path(spark: SparkSession, what: str) -> str:
 def _scratch(spark: SparkSession) -> str:
     if spark.sparkContext.applicationId not in _tables:
         _tables[spark.sparkContext.applicationId] = []
-        atexit.register(release, spark)
+        atexit.register(_at_exit, spark)
     return f"{shared_dir(spark)}/sparkkb-{spark.sparkContext.applicationId}"
 
 
+def _at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone by now
+        release(spark)
+
+
 def release(spark: SparkSession) -> None:
     """Drop the intermediate tables of this application and their files; called when Python ends. Results that read them are no longer valid."""
     if spark.sparkContext._jsc is None:  # stopped
         return
     scratch = _scratch(spark)
-    for name in _tables.pop(spark.sparkContext.applicationId):
+    for name in _tables.pop(spark.sparkContext.applicationId, []):
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folders.pop(spark.sparkContext.applicationId, scratch))
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
