@@ -130,6 +130,16 @@ def created_bases(names: DataFrame, bases: DataFrame) -> DataFrame:
     return asked.select("kb_name", F.when(F.coalesce("kb_name", F.lit("")) == "", "refused").when(F.col("known"), "exists").otherwise("created").alias("status"))
 
 
+def renamed_bases(changes: DataFrame, bases: DataFrame) -> DataFrame:
+    """(code, kb_name, status) of new names (code, kb_name) for bases by business code: ``not found`` without a live base of that code, ``refused`` for a blank name, ``exists`` if another live base has it, else ``renamed``."""
+    live = bases.where("is_deleted = false").select("kid", F.col("kb_name").alias("old"))
+    named = live.groupBy(F.col("old").alias("kb_name")).agg(F.min("kid").alias("first"), F.max("kid").alias("last"))
+    rows = changes.select("code", F.trim("kb_name").alias("kb_name"), F.col("code").try_cast("bigint").alias("kid")).join(live, "kid", "left").join(named, "kb_name", "left")
+    other = (F.col("first") != F.col("kid")) | (F.col("last") != F.col("kid"))
+    status = F.when(F.col("old").isNull(), "not found").when(F.coalesce("kb_name", F.lit("")) == "", "refused").when(other, "exists").otherwise("renamed")
+    return rows.select("code", "kb_name", status.alias("status"))
+
+
 def supplied(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Rows with the columns that changes has, where a change supplies a value: an update from a list of values. Of several changes of a key the greatest counts."""
     fields = [c for c in changes.columns if c != key]
@@ -173,6 +183,11 @@ def cleanup(cache: DataFrame, now: str, size: int) -> DataFrame:
     return due.orderBy("expires_at", "key").limit(size).select("key", "expires_at", F.lit("EVICTING").alias("state"))
 
 
+def evicted(cache: DataFrame, done: DataFrame) -> DataFrame:
+    """The cache without the entries whose eviction succeeded."""
+    return cache.join(done.select("key").distinct(), "key", "left_anti")
+
+
 # --- queries
 
 
@@ -266,11 +281,27 @@ def cache_touch(spark, sf_dir):
     return cache_state(_cache(spark, sf_dir), "user_id", 600)
 
 
-def cache_cleanup(spark, sf_dir):
-    """The first 50 users whose cache is over, or failed (an error event)."""
+def _states(spark, sf_dir):
+    """A cache entry for each user: over ten minutes after its last event, failed if that is an error, gone if it is a view."""
     e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key")).agg((F.max("ts").cast("timestamp") + F.expr("interval 10 minutes")).alias("expires_at"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
-    state = F.when(F.col("last") == "error", "ERROR").when(F.col("last") == "view", "EVICTED").otherwise("READY")
-    return cleanup(e.select("key", "expires_at", state.alias("state")), "2024-01-20T00:00:00Z", 50)
+    return e.select("key", "expires_at", F.when(F.col("last") == "error", "ERROR").when(F.col("last") == "view", "EVICTED").otherwise("READY").alias("state"))
+
+
+def cache_cleanup(spark, sf_dir):
+    """The first 50 users whose cache is over, or failed."""
+    return cleanup(_states(spark, sf_dir), "2024-01-20T00:00:00Z", 50)
+
+
+def cache_rest(spark, sf_dir):
+    """The cache after these were evicted."""
+    return evicted(_states(spark, sf_dir), cache_cleanup(spark, sf_dir)).select("key", "state")
+
+
+def base_rename(spark, sf_dir):
+    """Each query's number asks for the name of a document source, or of a base."""
+    r = table(spark, sf_dir, "inference_result").select(F.regexp_extract("query_id", r"\d+", 0).cast("int").cast("string").alias("code")).distinct()
+    names = table(spark, sf_dir, "knowledge_base").select((F.col("kid") + 1).cast("string").alias("code"), "kb_name").unionAll(table(spark, sf_dir, "documents").where("knowledge_base_id is not null").select(F.col("knowledge_base_id").cast("string"), "source").distinct())
+    return renamed_bases(r.join(names, "code", "left").select("code", "kb_name"), table(spark, sf_dir, "knowledge_base"))
 
 
 def task_queue(spark, sf_dir):
@@ -285,7 +316,7 @@ def build_status(spark, sf_dir):
 def queries() -> dict:
     return {f.__name__: f for f in (
         links_rewritten, links_created, path_check, existing_paths, entry_lookup, front_matter_values, front_matter_upsert, import_status, imported_entries, update_status, base_creation, update_from_values, storage_update,
-        cache_touch, cache_cleanup, task_queue, build_status)}
+        cache_touch, cache_cleanup, cache_rest, base_rename, task_queue, build_status)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -334,6 +365,14 @@ def oracle_sql() -> dict[str, str]:
         "cache_touch": "WITH l AS (SELECT user_id, max(ts) AS created_at FROM events WHERE event_type = 'purchase' GROUP BY ALL) SELECT e.user_id, l.created_at, max(e.ts) + INTERVAL 10 MINUTE AS expires_at FROM events e JOIN l USING (user_id) WHERE e.ts >= l.created_at GROUP BY ALL",
         "cache_cleanup": """WITH e AS (SELECT user_id AS key, max(ts) + INTERVAL 10 MINUTE AS expires_at, arg_max(event_type, (ts, event_id)) AS last FROM events GROUP BY ALL)
             SELECT key, expires_at, 'EVICTING' AS state FROM e WHERE last = 'error' OR (last <> 'view' AND expires_at <= TIMESTAMP '2024-01-20 00:00:00') ORDER BY expires_at, key LIMIT 50""",
+        "cache_rest": """WITH e AS (SELECT user_id AS key, max(ts) + INTERVAL 10 MINUTE AS expires_at, arg_max(event_type, (ts, event_id)) AS last FROM events GROUP BY ALL),
+            d AS (SELECT key FROM e WHERE last = 'error' OR (last <> 'view' AND expires_at <= TIMESTAMP '2024-01-20 00:00:00') ORDER BY expires_at, key LIMIT 50)
+            SELECT key, CASE last WHEN 'error' THEN 'ERROR' WHEN 'view' THEN 'EVICTED' ELSE 'READY' END AS state FROM e ANTI JOIN d USING (key)""",
+        "base_rename": """WITH r AS (SELECT DISTINCT TRY_CAST(regexp_extract(query_id, '\\d+') AS int)::varchar AS code FROM inference_result),
+            n AS (SELECT (kid + 1)::varchar AS code, kb_name FROM knowledge_base UNION ALL (SELECT DISTINCT knowledge_base_id::varchar, source FROM documents WHERE knowledge_base_id IS NOT NULL)),
+            c AS (SELECT r.code, trim(n.kb_name, ' ') AS kb_name, TRY_CAST(r.code AS bigint) AS kid FROM r LEFT JOIN n ON n.code = r.code)
+            SELECT c.code, c.kb_name, CASE WHEN NOT EXISTS (SELECT 1 FROM knowledge_base b WHERE NOT b.is_deleted AND b.kid = c.kid) THEN 'not found' WHEN coalesce(c.kb_name, '') = '' THEN 'refused'
+              WHEN EXISTS (SELECT 1 FROM knowledge_base b WHERE NOT b.is_deleted AND b.kb_name = c.kb_name AND b.kid <> c.kid) THEN 'exists' ELSE 'renamed' END AS status FROM c""",
         "task_queue": "SELECT CASE WHEN r = 1 THEN 'running' ELSE 'waiting' END AS status, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) GROUP BY ALL",
         "build_status": f"""SELECT doc_id, CASE WHEN NOT k THEN 'unsupported' WHEN blank THEN 'failed' ELSE 'complete' END AS status, CASE WHEN NOT k THEN 'markdown' WHEN blank THEN 'chunking' ELSE 'complete' END AS step
             FROM (SELECT doc_id, coalesce({kind} IN ('md', 'markdown', 'txt', 'html', 'htm', 'csv'), false) AS k, text IS NULL OR regexp_full_match(text, '[\\s\\x00\\x{{feff}}]*') AS blank FROM documents)""",
