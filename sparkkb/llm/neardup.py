@@ -8,11 +8,16 @@ above the threshold come out, none is lost:
 2. ``census``  each block sends its distinct shingles by hash range, the ranges add up
    document frequencies and send them back. Texts that several blocks hold keep one owner.
 3. ``keys``    a text sorts its shingles by frequency, rarest first. Its prefix, extended
-   by ``SHARED - 1`` shingles, must share ``SHARED`` shingles with the prefix of any
-   similar text. Rare shingles are index keys by themselves, frequent ones only in
-   combinations of two; shingles that no other text has are no keys at all.
-4. ``candidates``  a join on the keys between the short prefix of the smaller text and the
-   longer prefix of the larger one, with bounds on size, position and shared keys.
+   by ``n - 1`` shingles, must share ``n`` shingles with the prefix of any similar text.
+   Rare shingles are index keys by themselves (``n`` is ``SHARED``). Frequent ones are dealt
+   to ``g`` groups by hash and are keys in combinations of two of a group (``n`` is
+   ``g + SHARED``): of ``g + SHARED - r`` that are shared beside r rare ones, ``SHARED - r``
+   pairs at least lie in one group, so similar texts have ``SHARED`` keys in common.
+   Shingles that no other text has are no keys at all. A block sends its keys by hash range.
+4. ``candidates``  texts of a range that have a key in common meet if sizes and positions
+   allow; within a key they lie by size, so each text reads only those that can be partners.
+   Keys of more than a few texts bring a sketch of the whole set along, parities of the numbers
+   of shingles by hash: as many of them differ between two sets as shingles do, or fewer.
 5. ``pairs``   the shingle sets of the candidates are compared exactly.
 
 Frequencies only steer the order of the shingles: whatever they are, the result is the same.
@@ -20,6 +25,8 @@ Frequencies only steer the order of the shingles: whatever they are, the result
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,8 +39,10 @@ from sparkkb.session import materialize, materialize_bucketed
 
 #: Shingles in more texts than this are indexed in combinations only.
 FREQUENT_OVER = 500
-#: Shingles that the extended prefixes of two similar texts share at least.
+#: Keys that two similar texts have in common at least, unless they share too few shingles.
 SHARED = 3
+#: (g, n): groups for the frequent shingles of texts that share n or more with any similar one; n is g + SHARED at least. A multiple of the size at most, so keys grow as the text.
+GROUPS = ((1, 0), (8, 11), *((8 * 4**i, 48 * 4**i) for i in range(1, 11)))
 #: Frequencies are counted up to here.
 MOST = 4000
 #: Copies of a text that meet all the others in one task.
@@ -43,8 +52,14 @@ SLICE_BYTES = 250_000
 TOKEN_BITS = 48
 #: Texts of a block are numbered in this many bits; a block holds fewer, as each has some bytes.
 ITEM_BITS = 20
-#: Size and position in the set of a text, and its number of hidden shingles, in one long.
-SIZE_BITS, OFTEN_BITS = 26, 11
+#: Most shingles of a text, in bits.
+SIZE_BITS = 26
+#: Index keys have this many bits; equal keys of different shingles only make more candidates.
+KEY_BITS = 48
+#: Keys of more texts than this bring sketches along, of so many bits.
+SKETCHED_OVER, SKETCH_BITS = 20, 192
+#: Pairs that are looked at together.
+PAIR_ROWS = 1_000_000
 
 
 def shingle_keys(words: np.ndarray, width: int) -> np.ndarray:
@@ -161,8 +176,20 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(blocks), "range": table["range"], "df": _as_lists(df, n, pa.int16()), "owned": _as_lists((first[key_inverse] == of).astype(np.int8) if len(keys) else np.empty(0, np.int8), key_n, pa.int8())})
 
 
-def _emit(width: int, threshold: float):
-    """Index keys of the texts that a block owns."""
+def sketches(tokens: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+    """A row of SKETCH_BITS for each text: whether the number of its shingles of a hash class is odd. text is sorted."""
+    rows = []
+    at = np.append(np.searchsorted(text, np.arange(0, texts, 4096)), len(text))
+    for first, last, begin in zip(at[:-1], at[1:], range(0, texts, 4096), strict=True):
+        n = min(4096, texts - begin)
+        of = (text[first:last] - begin) * SKETCH_BITS + (codepoints.mix(tokens[first:last] + np.uint64(3)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+        rows.append(np.packbits((np.bincount(of, minlength=n * SKETCH_BITS) & 1).astype(np.uint8)).view(np.uint64).reshape(n, -1))
+    return np.concatenate(rows) if rows else np.empty((0, SKETCH_BITS // 64), np.uint64)
+
+
+def _emit(ranges: int, width: int, threshold: float):
+    """Index keys of the texts that a block owns, by range of keys."""
+    dealt, from_ = (np.array(x) for x in zip(*GROUPS, strict=True))
 
     def run(table: pa.Table, reply: pa.Table) -> pa.Table:
         reply = reply.sort_by("range")
@@ -180,31 +207,96 @@ def _emit(width: int, threshold: float):
         order = np.lexsort(((df << np.uint64(TOKEN_BITS)) | tokens, text))
         tokens, text, df = tokens[order], text[order], df[order].astype(np.int64)
         size = np.bincount(text, minlength=len(key))
+        if len(size) and size.max() >= 1 << SIZE_BITS:
+            raise ValueError(f"a text has more than {(1 << SIZE_BITS) - 1} different shingles")
         pos = np.arange(len(text)) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
         least = np.ceil(threshold * size - 1e-9).astype(np.int64)  # shingles shared with any similar text
-        alike = np.ceil(2 * threshold / (1 + threshold) * size - 1e-9).astype(np.int64)  # with one that is no smaller
-        reach, lead = (size - least + SHARED)[text], (size - alike + SHARED)[text]
-        used = (pos < reach) & (df > 1)
-        tokens, text, df, pos, lead, reach = tokens[used], text[used], df[used], pos[used], lead[used], reach[used]
+        sketch = sketches(tokens, text, len(key))
+        # The groups are those of the smaller text of a pair, which has least shingles at least.
+        low, high = (np.searchsorted(from_, n, "right") - 1 for n in (np.ceil(threshold * least - 1e-9), least))
+        reach = size - least
+        used = (df > 1) & (pos < (reach + dealt[high] + SHARED)[text])
+        tokens, text, df, pos = tokens[used], text[used], df[used], pos[used]
         rare = df <= FREQUENT_OVER
-        often = np.bincount(text[~rare & (pos < lead)], minlength=len(key))  # shared shingles that no single key shows
-        if len(size) and size.max() >= 1 << SIZE_BITS:
-            raise ValueError(f"a text has more than {(1 << SIZE_BITS) - 1} different shingles")
-        common = np.flatnonzero(~rare & (pos < reach - SHARED + 2))  # the prefixes extended by one share two
-        first, second = _two_of_each(text[common])
-        first, second = common[first], common[second]
-        combined = codepoints.mix(codepoints.mix(tokens[first]) + tokens[second])
-        lone = np.flatnonzero(~rare & (size == 1)[text])  # too short for two of a kind
-        single = np.concatenate([np.flatnonzero(rare), lone])
-        at = np.concatenate([single, first])
-        of = text[at]
-        return pa.table(
-            {
-                "key": pa.array(np.concatenate([codepoints.mix(tokens[single] + np.uint64(1)), combined]).view(np.int64)),
-                "text": pa.array((table["block"][0].as_py() << ITEM_BITS) + table["item"].to_numpy()[of].astype(np.int64)),
-                "info": pa.array((((size[of] << SIZE_BITS) + pos[at]) << OFTEN_BITS) + np.minimum(often[of], (1 << OFTEN_BITS) - 1)),
-            }
-        )
+        single = np.flatnonzero((rare | (least <= 1)[text]) & (pos < (reach + SHARED)[text]))  # a single shared shingle makes no two of a kind
+        keys, of, rest = [codepoints.mix(tokens[single] + np.uint64(1))], [text[single]], [(size[text] - pos)[single] + SHARED - 1]
+        plain = [df[single] <= SKETCHED_OVER]
+        for k in range(low.min(), high.max() + 1) if len(size) else ():
+            g = int(dealt[k])
+            at = np.flatnonzero(~rare & ((low <= k) & (k <= high))[text] & (pos < (reach + g + SHARED)[text]))
+            group = text[at] * g + (codepoints.mix(tokens[at] + np.uint64(2)) % np.uint64(g)).astype(np.int64)
+            at, group = (x[np.argsort(group, kind="stable")] for x in (at, group))
+            first, second = (at[x] for x in _two_of_each(group))
+            keys.append(codepoints.mix(codepoints.mix(tokens[first] + np.uint64(g << TOKEN_BITS)) + tokens[second]))
+            of.append(text[first])
+            rest.append((size[text] - pos)[second] + g + SHARED - 1)
+            plain.append(np.zeros(len(first), bool))
+        keys, of, rest, plain = np.concatenate(keys) >> np.uint64(64 - KEY_BITS), np.concatenate(of), np.concatenate(rest), np.concatenate(plain)
+        order = np.argsort(keys)
+        keys, of, rest, plain = keys[order], of[order], rest[order], plain[order]
+        texts = ((table["block"][0].as_py() if len(key) else 0) << ITEM_BITS) + table["item"].to_numpy()[of].astype(np.int64)
+        at = _range_bounds(keys, KEY_BITS, ranges)
+        sent = np.flatnonzero(np.diff(at) > 0)
+        columns = {"keys": keys, "texts": texts, "sizes": size[of].astype(np.uint32), "rests": rest.astype(np.uint32), "plain": plain.astype(np.uint8)}
+        columns = {n: pa.array([_planes(c[at[r] : at[r + 1]]) for r in sent.tolist()], pa.binary()) for n, c in columns.items()}
+        marks = [sketch[of[at[r] : at[r + 1]][~plain[at[r] : at[r + 1]]]].tobytes() for r in sent.tolist()]
+        return pa.table({"range": pa.array(sent.astype(np.int32))} | columns | {"sketches": pa.array(marks, pa.binary())})
+
+    return run
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """First bytes of all values, then second ones and so on: bytes that are alike lie together, as compression likes it."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _of_planes(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The values of all rows, end to end."""
+    width = np.dtype(kind).itemsize
+    rows = [np.ascontiguousarray(np.frombuffer(raw.as_buffer(), np.uint8).reshape(width, -1).T).view(kind).reshape(-1) for raw in column]
+    return np.concatenate(rows) if rows else np.empty(0, kind)
+
+
+def _meet(threshold: float):
+    """Pairs of texts for each key that they have in common, a the smaller one, and how many such keys a similar pair must have."""
+    ratio = threshold / (1 + threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        key, text, size, rest = (_of_planes(table[n], kind) for n, kind in (("keys", np.uint64), ("texts", np.int64), ("sizes", np.uint32), ("rests", np.uint32)))
+        plain = _of_planes(table["plain"], np.uint8) == 1
+        sketch = np.frombuffer(b"".join(table["sketches"].to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+        of = np.cumsum(~plain) - 1
+        del table
+        order = np.argsort(key)
+        key = key[order]
+        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        times = np.diff(np.append(begins, len(key)))
+        order, group = order[np.repeat(times > 1, times)], np.repeat(np.arange(len(times)), times)[np.repeat(times > 1, times)]
+        text, size, rest, plain, of = text[order], size[order].astype(np.int64), rest[order].astype(np.int64), plain[order], of[order]
+        order = np.lexsort((text, (group << SIZE_BITS) | size))
+        group, text, size, rest, plain, of = group[order], text[order], size[order], rest[order], plain[order], of[order]
+        # shingles that a partner has at most, by the bounds on size and on what is left to be shared
+        most = np.minimum((size + 1e-9) / threshold, (rest + 1e-9) / ratio - size + 1e-9).clip(0, (1 << SIZE_BITS) - 1).astype(np.int64)
+        past = np.searchsorted((group << SIZE_BITS) | size, (group << SIZE_BITS) | most, "right")
+        n = np.maximum(past - np.arange(len(past)) - 1, 0)
+        total = np.concatenate([[0], np.cumsum(n)])
+        first = 0
+        while first < len(n):
+            last = max(first + 1, int(np.searchsorted(total, total[first] + PAIR_ROWS, "right")) - 1)
+            a = np.repeat(np.arange(first, last), n[first:last])
+            b = a + 1 + np.arange(len(a)) - np.repeat(total[first:last] - total[first], n[first:last])
+            both = ratio * (size[a] + size[b]) - 1e-9
+            fits = (rest[b] >= both) & (rest[a] >= both) & (text[a] != text[b])
+            a, b, both = a[fits], b[fits], both[fits]
+            fits = plain[a] | plain[b]
+            at = np.flatnonzero(~fits)
+            x, y = a[at], b[at]
+            differ = sum(np.bitwise_count(sketch[of[x], k] ^ sketch[of[y], k]).astype(np.int64) for k in range(SKETCH_BITS // 64))
+            fits[at] = differ <= size[x] + size[y] - 2 * both[at]
+            a, b, need = text[a[fits]], text[b[fits]], np.clip(np.ceil(both[fits]) - 1, 1, SHARED)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need.astype(np.int8))], ["a", "b", "need"])
+            first = last
 
     return run
 
@@ -324,33 +416,19 @@ class Join:
         self.held = self.stored.where("words is not null")
 
     def keys(self) -> DataFrame:
+        """(range, keys, texts, sizes, rests, plain, sketches): for each block and range of keys, texts by key, their sizes, the most shingles that they may share from there on, and sketches of those that aren't plain; see _planes()."""
         ranges = max(1, self.stored.agg(F.approx_count_distinct("block", 0.02)).first()[0])
         held = self.held.select("block", "item", "text_key", "words")
         sent = held.groupBy("block").applyInArrow(_send(ranges, self.width), "range int, block long, tokens array<int>, times array<smallint>, keys array<long>")
         reply = sent.groupBy("range").applyInArrow(_count, "block long, range int, df array<smallint>, owned array<tinyint>")
-        return held.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(_emit(self.width, self.threshold), "key long, text long, info long")
+        return held.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(_emit(ranges, self.width, self.threshold), "range int, keys binary, texts binary, sizes binary, rests binary, plain binary, sketches binary")
 
     def candidates(self) -> DataFrame:
         """Pairs that share enough keys; a is the smaller text."""
-        keys = self.keys().where("key is not null and text is not null and info is not null")  # all are; said here, it's the same filter for both sides
-        a, b = keys.alias("a"), keys.alias("b")
-        ratio = self.threshold / (1 + self.threshold)
-        size, other = (F.shiftright(f"{s}.info", SIZE_BITS + OFTEN_BITS) for s in "ab")
-        pos, other_pos = (F.shiftright(f"{s}.info", OFTEN_BITS).bitwiseAND((1 << SIZE_BITS) - 1) for s in "ab")
-        lead = size - F.ceil(2 * ratio * size - 1e-9) + SHARED
-        # Conditions and results name the same columns of both sides, so that both read the same shuffled keys.
-        join = (
-            (F.col("a.key") == F.col("b.key"))
-            & (F.struct(size, F.col("a.text")) < F.struct(other, F.col("b.text")))
-            & (F.least(lead - pos, other) > 0)
-            & (size >= self.threshold * other - 1e-9)
-            & (F.least(size - pos, other - other_pos) + (SHARED - 1) >= ratio * (size + other) - 1e-9)
-        )
-        found = a.join(b, join).select(F.col("a.text").alias("a"), F.col("b.text").alias("b"), size.alias("size"), F.col("a.info").bitwiseAND((1 << OFTEN_BITS) - 1).alias("often"))
-        found = found.groupBy("a", "b", "size", "often").agg(F.count(F.lit(1)).alias("n"))
-        need = F.least(F.lit(SHARED), F.ceil(self.threshold * F.col("size") - 1e-9))
+        found = self.keys().groupBy("range").applyInArrow(_meet(self.threshold), "a long, b long, need tinyint")
+        found = found.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("n"))
         parts = [x for s in "ab" for x in (F.shiftright(s, ITEM_BITS).alias(f"{s}_block"), F.col(s).bitwiseAND((1 << ITEM_BITS) - 1).cast("int").alias(f"{s}_item"))]
-        return found.where(F.col("n") + F.coalesce("often", F.lit(0)) >= need).select(parts)
+        return found.where("n >= need").select(parts)
 
     def text_pairs(self) -> DataFrame:
         """(a_key, b_key, shared, total): each pair of different texts at or above the threshold, once."""

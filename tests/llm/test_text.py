@@ -141,6 +141,36 @@ def test_all_pairs_are_found(spark, monkeypatch, width, threshold, least):
     assert len(got) == len(set(got)) and set(got) == brute_pairs(texts, width, threshold, least)
 
 
+@pytest.mark.parametrize("width, threshold, least", [(3, 0.6, 20), (1, 0.5, 1)])
+def test_all_pairs_are_found_by_sketched_keys(spark, monkeypatch, width, threshold, least):
+    monkeypatch.setattr(neardup, "FREQUENT_OVER", 9)
+    monkeypatch.setattr(neardup, "SKETCHED_OVER", 2)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 4_000)
+    monkeypatch.setattr(neardup, "PAIR_ROWS", 50)
+    rng = random.Random(5)
+    stems = [rng.choices([f"w{i}" for i in range(400)], k=n) for n in (1, 2, 24, 70, 500)]
+    texts = [revised(rng, s, rng.randrange(1 + len(s) // 6)) for s in stems for _ in range(25)]
+    got = [(r["kid_a"], r["kid_b"]) for r in neardup.Join(frame(spark, texts).repartition(3), "id", "text", width, threshold, least).pairs().collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(texts, width, threshold, least)
+
+
+def test_unlike_texts_with_a_key_in_common_are_no_candidates(spark, monkeypatch):
+    rng = random.Random(3)
+    phrases = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(40)]
+    texts = [" ".join([f"p{i % 20} holds more", *rng.sample(phrases, 3)]) for i in range(1200)]
+    monkeypatch.setattr(neardup, "SHARED", 1)  # one key will do, so that the number of keys hides nothing
+    assert neardup.Join(frame(spark, texts), "id", "text", 3, 0.6, 20).candidates().count() < 10_000  # 35,400 pairs have their first words in common
+
+
+def test_sketches_differ_by_no_more_than_the_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in (0, 1, 5, 60, 200, 290, 0)]
+    rows = neardup.sketches(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets))
+    for a, x in zip(sets, rows, strict=True):
+        for b, y in zip(sets, rows, strict=True):
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_no_texts_no_pairs(spark):
     assert neardup.Join(frame(spark, []), "id", "text").pairs().count() == 0
     assert neardup.Join(frame(spark, []), "id", "text").groups().count() == 0
