@@ -41,7 +41,7 @@ from sparkkb.session import materialize, materialize_bucketed
 FREQUENT_OVER = 500
 #: Keys that two similar texts have in common at least, unless they share too few shingles.
 SHARED = 3
-#: (g, n): groups for the frequent shingles of texts that share n or more with any similar one; n is g + SHARED at least. A multiple of the size at most, so keys grow as the text.
+#: (g, n): groups for the frequent shingles of texts that share n or more with any similar one; n is g + SHARED at least. g grows with n, so that the number of combinations stays in proportion to the text.
 GROUPS = ((1, 0), (8, 11), *((8 * 4**i, 48 * 4**i) for i in range(1, 11)))
 #: Frequencies are counted up to here.
 MOST = 4000
